@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom import fixed_values as fv
 from corpusloom.functions.text import blank_to_null
-from corpusloom.operators.ranking import best_per_key, numbered
+from corpusloom.operators.ranking import numbered
 from corpusloom.operators.scope import source_type
 
 
@@ -22,7 +22,8 @@ def merge_history(runs: DataFrame, restored: DataFrame) -> DataFrame:
     ``runs``: source_type, space, space_name, chunks, status, run_at; ``restored``: source_type, space, space_name, chunks.
     """
     keys = ["source_type", "space"]
-    latest = best_per_key(runs.withColumn("source_type", source_type()), keys, [-F.unix_micros("run_at")])
+    latest = runs.withColumn("source_type", source_type()).groupBy(*keys).agg(
+        F.max_by(F.struct("space_name", "chunks", "status"), "run_at").alias("run")).select(*keys, "run.*")
     r = restored.withColumn("source_type", source_type()).select(
         *keys, F.col("space_name").alias("_name"), F.col("chunks").alias("_chunks"))
     return latest.join(r, keys, "full").select(
