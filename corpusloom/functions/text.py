@@ -21,6 +21,11 @@ def rx_groups(c: Column, pattern: str, names: list[str]) -> Column:
     return F.arrays_zip(*parts)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, even where it is used inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

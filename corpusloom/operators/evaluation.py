@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom import fixed_values as fv
-from corpusloom.functions.text import blank_to_null, normalize_any_script
+from corpusloom.functions.text import blank_to_null, let, normalize_any_script
 
 METRICS = ["hit_at_k", "recall_at_k", "precision_at_k", "mrr", "ndcg_at_k"]
 # fixed values: labels of the checked metrics
@@ -147,8 +147,8 @@ def dedupe_on_two_keys(pages: Column) -> Column:
 
 def fact_score(answer: Column, facts: Column) -> list[Column]:
     """Share of facts found in the answer, and the missing ones; 1.0 without facts."""
-    text = normalize_any_script(answer)
-    missing = F.filter(facts, lambda f: ~F.contains(text, normalize_any_script(f)))
+    missing = let(normalize_any_script(answer),
+                  lambda text: F.filter(facts, lambda f: ~F.contains(text, normalize_any_script(f))))
     total = F.coalesce(F.size(facts), F.lit(0))
     score = F.when(total <= 0, 1.0).otherwise(F.try_divide(total - F.size(missing), total))
     none = F.array().cast("array<string>")
@@ -160,7 +160,7 @@ def source_score(sources: Column, relevant: Column) -> Column:
     ids = F.transform(sources, lambda s: F.coalesce(blank_to_null(s["page_id"]), blank_to_null(s["title"]), F.lit("")))
     keys = F.concat(ids, F.transform(sources, lambda s: F.coalesce(s["title"], F.lit(""))))
     total = F.coalesce(F.size(relevant), F.lit(0))
-    hits = F.size(F.filter(relevant, lambda p: F.array_contains(keys, p)))
+    hits = let(keys, lambda known: F.size(F.filter(relevant, lambda p: F.array_contains(known, p))))
     return F.when(total <= 0, 1.0).otherwise(F.try_divide(hits, total)).alias("source_score")
 
 

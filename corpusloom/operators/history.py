@@ -42,10 +42,11 @@ def carry_anchors(turns: DataFrame, frame: int = fv.HISTORY_TURNS, block: int =
 def fill_from_sources(previous: Column, source_texts: Column) -> Column:
     """History anchors, else the first anchors found in the texts of earlier sources."""
     per_text = F.transform(source_texts, followup.anchors)
-    first = {
-        f: F.get(F.filter(F.transform(per_text, lambda a, f=f: a[f]), lambda v: v.isNotNull()), F.lit(0))
-        for f in followup.ANCHORS
-    }
+
+    def first_of(field):
+        return F.get(F.filter(F.transform(per_text, lambda a: a[field]), lambda v: v.isNotNull()), F.lit(0))
+
+    first = {f: first_of(f) for f in followup.ANCHORS}
     use_history = followup.any_anchor(previous)
     return F.struct(*[F.when(use_history, previous[f]).otherwise(first[f]).alias(f) for f in followup.ANCHORS])
 

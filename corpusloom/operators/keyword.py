@@ -1,11 +1,13 @@
 """Keyword retrieval: term gates, field scores and the best chunk per page."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom import fixed_values as fv
 from corpusloom.functions import korean
-from corpusloom.functions.text import normalize, occurrences
-from corpusloom.operators.matching import MAX_SHIPPED_TERMS, match_terms
+from corpusloom.functions.text import let, normalize, occurrences
+from corpusloom.operators.matching import MAX_SHIPPED_TERMS, with_matches
 from corpusloom.operators.ranking import best_per_key, score_key, top_k
 from corpusloom.storage import stage
 
@@ -43,14 +45,24 @@ def searchable_chunks(chunks: DataFrame, now_year: int) -> DataFrame:
 def term_hits(texts: DataFrame, terms: DataFrame, max_shipped: int = MAX_SHIPPED_TERMS) -> DataFrame:
     """(chunk, term) rows with counts per field, computed once for all queries."""
     scan = texts.withColumn("scan", F.concat_ws("\n", "gate", F.concat("title", "keyword")))
-    pairs = match_terms(scan, terms, "chunk_id", "scan", max_shipped)
-    return pairs.join(texts, "chunk_id").select(
-        "chunk_id", "page_id", "term", "months",
-        F.contains(F.col("gate"), F.col("term")).alias("in_gate"),
-        F.contains(F.concat("title", "keyword"), F.col("term")).alias("in_head"),
-        *[occurrences(F.col(f), F.col("term")).alias(f"tf_{f}") for f in FIELDS],
-        *[F.greatest(F.lit(1), F.length(f)).alias(f"len_{f}") for f in FIELDS],
-    )
+    found = with_matches(scan, terms, "chunk_id", "scan", max_shipped)
+
+    def facts(head):
+        return F.transform("found", lambda t: F.struct(
+            t.alias("term"), F.contains("gate", t).alias("in_gate"), F.contains(head, t).alias("in_head"),
+            *[occurrences(F.col(f), t).alias(f"tf_{f}") for f in FIELDS]))
+
+    # counted before the terms become rows, so that the long texts are not copied per term
+    counted = found.select("chunk_id", "page_id", *_lengths(), let(F.concat("title", "keyword"), facts).alias("facts"))
+    return counted.select("chunk_id", "page_id", *LENGTHS, F.explode("facts").alias("fact")).select(
+        "chunk_id", "page_id", *LENGTHS, "fact.*")
+
+
+LENGTHS = [f"len_{f}" for f in FIELDS]
+
+
+def _lengths() -> list[Column]:
+    return [F.greatest(F.lit(1), F.length(f)).alias(f"len_{f}") for f in FIELDS]
 
 
 def _queries(terms: DataFrame, months: DataFrame | None) -> DataFrame:
@@ -67,56 +79,56 @@ def _queries(terms: DataFrame, months: DataFrame | None) -> DataFrame:
     return kinds.select(
         "query_id", asked.alias("asked"), exact.alias("has_exact"),
         F.coalesce("has_broad", F.lit(False)).alias("has_broad"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"),
-        F.when(exact, "exact").when(F.size(asked) > 0, "month").otherwise("broad").alias("gate_kind"),
+        F.when(exact, "exact").when(F.size(asked) > 0, "month").otherwise("open").alias("gate"),
     ).filter((F.col("n_terms") > 0) | (F.size("asked") > 0))
 
 
-def _candidate_rows(texts, hits, terms, queries, with_months: bool) -> DataFrame:
-    """(query, chunk, term) rows of the chunks a query admits; month matches without a term have a null term."""
-    rows = hits.join(terms, "term").join(queries, "query_id")
-    pair = Window.partitionBy("query_id", "chunk_id")
-    gated = rows.withColumn(
-        "exact_ok", F.max(F.col("is_exact") & F.col("in_gate")).over(pair)
-    ).withColumn("broad_ok", F.max(F.col("is_broad") & F.col("in_gate")).over(pair)).filter(
-        F.when(F.col("gate_kind") == "exact", F.col("exact_ok") & (~F.col("has_broad") | F.col("broad_ok")))
-        .when(F.col("gate_kind") == "month", F.arrays_overlap("months", "asked"))
-        .otherwise(F.lit(True))
-    ).drop("exact_ok", "broad_ok")
-    if not with_months:
-        return gated
-    by_month = queries.filter(F.col("gate_kind") == "month").withColumn("month", F.explode("asked"))
-    located = texts.filter(F.size("months") > 0).select(
-        "chunk_id", "page_id", "months", F.explode("months").alias("month"),
-        *[F.greatest(F.lit(1), F.length(f)).alias(f"len_{f}") for f in FIELDS],
-    )
-    without_term = located.join(by_month, "month").drop("month").dropDuplicates(["query_id", "chunk_id"])
-    return gated.unionByName(without_term, allowMissingColumns=True)
+@dataclass
+class Prepared:
+    """What the keyword steps share: chunk texts, (chunk, term) hits, terms, query facts and gated pairs."""
 
+    texts: DataFrame
+    hits: DataFrame
+    terms: DataFrame
+    queries: DataFrame
+    gated: DataFrame
 
-def candidate_stats(texts: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Candidate count and mean field lengths per query; ungated queries share the whole-table values."""
-    lens = [f"len_{f}" for f in FIELDS]
-    gated = (
-        rows.filter(F.col("gate_kind") != "broad").groupBy("query_id", "chunk_id")
-        .agg(*[F.first(c).alias(c) for c in lens]).groupBy("query_id")
-        .agg(F.count("*").alias("n"), *[F.avg(c).alias("avg_" + c) for c in lens])
-    )
-    whole = texts.agg(
-        F.count("*").alias("n"),
-        *[F.avg(F.greatest(F.lit(1), F.length(f))).alias(f"avg_len_{f}") for f in FIELDS],
-    ).withColumn("gate_kind", F.lit("broad"))
-    open_ = queries.filter(F.col("gate_kind") == "broad").select("query_id", "gate_kind").join(whole, "gate_kind")
-    return gated.unionByName(open_.drop("gate_kind"))
+
+def _gated_pairs(texts, hits, terms, queries) -> DataFrame:
+    """(query, chunk) pairs of queries with an exact term or a month: the chunks their gate admits.
+
+    Exact terms are rare, so they are looked up first and broad terms are only tested on what is left.
+    """
+    exact = queries.filter(F.col("gate") == "exact")
+    inside = hits.filter("in_gate").select("chunk_id", "term")
+    by_exact = inside.join(terms.filter("is_exact").select("query_id", "term"), "term").join(
+        exact.select("query_id", "has_broad"), "query_id").select("query_id", "chunk_id", "has_broad").distinct()
+    broad = terms.filter("is_broad").select("query_id", "term")
+    second = by_exact.filter("has_broad").join(inside, "chunk_id").join(broad, ["query_id", "term"], "left_semi")
+    pairs = by_exact.filter(~F.col("has_broad")).select("query_id", "chunk_id").unionByName(
+        second.select("query_id", "chunk_id").distinct())
+    by_month = queries.filter(F.col("gate") == "month").select("query_id", F.explode("asked").alias("month"))
+    located = texts.select("chunk_id", F.explode("months").alias("month"))
+    return pairs.unionByName(located.join(by_month, "month").select("query_id", "chunk_id").distinct())
 
 
 def prepare(chunks: DataFrame, terms: DataFrame, months: DataFrame | None, now_year: int,
-            max_shipped: int = MAX_SHIPPED_TERMS):
-    """Texts, admitted (query, chunk, term) rows and query facts, each computed once."""
+            max_shipped: int = MAX_SHIPPED_TERMS) -> Prepared:
+    """Scan the chunks once for all terms; every later step works on the hits."""
     texts = searchable_chunks(chunks, now_year)
     hits = stage(term_hits(texts, terms, max_shipped), "term_hits")
+    facts = stage(texts.select("chunk_id", "page_id", "months", *_lengths()), "chunk_facts")
     queries = _queries(terms, months)
-    rows = stage(_candidate_rows(texts, hits, terms, queries, months is not None), "candidate_rows")
-    return texts, rows, queries
+    return Prepared(facts, hits, terms, queries, stage(_gated_pairs(facts, hits, terms, queries), "gated_pairs"))
+
+
+def candidate_stats(p: Prepared) -> DataFrame:
+    """Candidate count and mean field lengths per query; open queries share the values of the whole table."""
+    means = [F.avg(c).alias("avg_" + c) for c in LENGTHS]
+    gated = p.gated.join(p.texts, "chunk_id").groupBy("query_id").agg(F.count("*").alias("n"), *means)
+    whole = p.texts.agg(F.count("*").alias("n"), *means).withColumn("gate", F.lit("open"))
+    open_ = p.queries.filter(F.col("gate") == "open").select("query_id", "gate").join(whole, "gate")
+    return gated.unionByName(open_.drop("gate"))
 
 
 def _field_score(field: str) -> Column:
@@ -126,27 +138,43 @@ def _field_score(field: str) -> Column:
     return F.when(tf > 0, idf * tf * (fv.BM25_K1 + 1) / (tf + norm)).otherwise(F.lit(0.0))
 
 
-def field_scores(texts: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
+def _term_score() -> Column:
+    return sum((_field_score(f) * w for f, w in FIELDS.items()), F.lit(0.0))
+
+
+def _document_counts(hits: DataFrame, keys: list[str]) -> DataFrame:
+    return hits.groupBy(*keys).agg(*[F.count_if(F.col(f"tf_{f}") > 0).alias(f"df_{f}") for f in FIELDS])
+
+
+def _pair_sums(rows: DataFrame, score: Column, exact_head: Column) -> DataFrame:
+    return rows.groupBy("query_id", "chunk_id").agg(
+        F.first("page_id").alias("page_id"), F.sum(score).alias("bm25"),
+        F.sum((F.col("tf_title") > 0).cast("int")).alias("in_title"), F.max(exact_head).alias("exact_head"))
+
+
+def field_scores(p: Prepared) -> DataFrame:
     """(query, chunk) with the three-field score and the share of terms found in the title."""
-    df = rows.filter(F.col("term").isNotNull()).groupBy("query_id", "term").agg(
-        *[F.count_if(F.col(f"tf_{f}") > 0).alias(f"df_{f}") for f in FIELDS]
-    )
-    scored = rows.join(df, ["query_id", "term"], "left").join(candidate_stats(texts, rows, queries), "query_id")
-    bm25 = sum((_field_score(f) * w for f, w in FIELDS.items()), F.lit(0.0))
-    out = scored.groupBy("query_id", "chunk_id").agg(
-        F.first("page_id").alias("page_id"),
-        F.sum(F.coalesce(bm25, F.lit(0.0))).alias("bm25"),
-        F.count_if(F.col("tf_title") > 0).alias("in_title"),
-        F.coalesce(F.max(F.col("is_exact") & F.col("in_head")), F.lit(False)).alias("exact_head"),
-        F.max(F.arrays_overlap("months", "asked")).alias("month_match"),
-        F.first("n_terms").alias("n_terms"),
-    )
+    # open queries share their statistics, so a (chunk, term) is scored once for all of them
+    whole = p.texts.agg(F.count("*").alias("n"), *[F.avg(c).alias("avg_" + c) for c in LENGTHS]).withColumn("_k", F.lit(0))
+    scored = p.hits.join(_document_counts(p.hits, ["term"]), "term").withColumn("_k", F.lit(0)).join(whole, "_k").select(
+        "chunk_id", "page_id", "term", "tf_title", _term_score().alias("score"))
+    asking = p.terms.join(p.queries.filter(F.col("gate") == "open").select("query_id"), "query_id").select("query_id", "term")
+    open_ = _pair_sums(scored.join(asking, "term"), F.col("score"), F.lit(False))
+
+    rows = p.gated.join(p.hits, "chunk_id").join(p.terms, ["query_id", "term"])
+    counted = rows.join(_document_counts(rows, ["query_id", "term"]), ["query_id", "term"]).join(
+        candidate_stats(p).select("query_id", "n", *[f"avg_{c}" for c in LENGTHS]), "query_id")
+    sums = _pair_sums(counted, _term_score(), F.col("is_exact") & F.col("in_head")).drop("page_id")
+    # a month match counts without any term
+    located = p.gated.join(p.texts.select("chunk_id", "page_id", "months"), "chunk_id").join(sums, ["query_id", "chunk_id"], "left")
+    every = open_.withColumn("months", F.array().cast("array<int>")).unionByName(located).join(
+        p.queries.select("query_id", "asked", "n_terms"), "query_id")
+    month_match = F.coalesce(F.arrays_overlap("months", "asked"), F.lit(False))
     title = F.when(F.col("exact_head"), F.lit(1.0)).otherwise(
         F.coalesce(F.try_divide(F.col("in_title"), F.col("n_terms")), F.lit(0.0)))
-    boosted = F.col("bm25") + F.when(F.col("month_match"), F.lit(2.0)).otherwise(F.lit(0.0))
-    return out.select(
-        "query_id", "chunk_id", "page_id", boosted.alias("bm25_score"), title.alias("title_match_score"),
-        F.coalesce("month_match", F.lit(False)).alias("month_match"),
+    boosted = F.coalesce("bm25", F.lit(0.0)) + F.when(month_match, F.lit(2.0)).otherwise(F.lit(0.0))
+    return every.select(
+        "query_id", "chunk_id", "page_id", boosted.alias("bm25_score"), title.alias("title_match_score"), month_match.alias("month_match"),
     ).filter((F.col("bm25_score") > 0) | (F.col("title_match_score") > 0))
 
 
@@ -168,5 +196,4 @@ def search(chunks: DataFrame, terms: DataFrame, now_year: int, months: DataFrame
            limits: DataFrame | None = None, k: int = fv.KEYWORD_TOP_K, max_k: int | None = None,
            max_shipped: int = MAX_SHIPPED_TERMS) -> DataFrame:
     """Ranked chunks per query from the keyword rules."""
-    texts, rows, queries = prepare(chunks, terms, months, now_year, max_shipped)
-    return rank_pages(field_scores(texts, rows, queries), limits, k, max_k)
+    return rank_pages(field_scores(prepare(chunks, terms, months, now_year, max_shipped)), limits, k, max_k)

@@ -59,8 +59,10 @@ def page_text(pages: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 def number_chunks(rows: DataFrame, pieces: Column) -> DataFrame:
     """One row per piece with its 0-based index and the piece count."""
-    return rows.withColumn("_pieces", pieces).withColumn("chunk_count", F.size("_pieces")).select(
-        *rows.columns, "chunk_count", F.posexplode("_pieces").alias("chunk_index", "piece"))
+    # the outer form keeps the planner from testing the pieces once more in a pushed-down filter
+    cut = rows.withColumn("_pieces", pieces).select(
+        *rows.columns, F.size("_pieces").alias("chunk_count"), F.posexplode_outer("_pieces").alias("chunk_index", "piece"))
+    return cut.filter(F.col("chunk_index").isNotNull())
 
 
 def chunk_header(index: Column, count: Column) -> Column:

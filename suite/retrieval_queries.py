@@ -103,16 +103,14 @@ def _month_parts(spark, sf):
 @query("r1_candidates", s.build(
     "SELECT query_id, n, round(a_title, 6) AS avg_title, round(a_keyword, 6) AS avg_keyword, round(a_content, 6) AS avg_content FROM kw_stats", "kw_stats"))
 def candidates(spark, sf):
-    texts, rows, queries = _keyword_parts(spark, sf)
-    stats = keyword.candidate_stats(texts, rows, queries)
+    stats = keyword.candidate_stats(_keyword_parts(spark, sf))
     return stats.select("query_id", "n", *[F.round(f"avg_len_{f}", 6).alias(f"avg_{f}") for f in keyword.FIELDS])
 
 
 @query("r1_gated_chunks", s.build(
     "SELECT query_id, chunk_id FROM kw_cands JOIN kw_kinds USING (query_id) WHERE has_exact", "kw_cands", "kw_kinds"))
 def gated_chunks(spark, sf):
-    _, rows, _ = _keyword_parts(spark, sf)
-    return rows.filter("gate_kind = 'exact'").select("query_id", "chunk_id").distinct()
+    return _keyword_parts(spark, sf).gated
 
 
 _score = "SELECT query_id, chunk_id, round({}, 6) AS score FROM kw_score"
@@ -120,18 +118,18 @@ _score = "SELECT query_id, chunk_id, round({}, 6) AS score FROM kw_score"
 
 @query("r2_bm25_fields", s.build(_score.format("bm25_score"), "kw_score"))
 def bm25(spark, sf):
-    return keyword.field_scores(*_keyword_parts(spark, sf)).select("query_id", "chunk_id", F.round("bm25_score", 6).alias("score"))
+    return keyword.field_scores(_keyword_parts(spark, sf)).select("query_id", "chunk_id", F.round("bm25_score", 6).alias("score"))
 
 
 @query("r3_title_match", s.build(_score.format("title_match_score"), "kw_score"))
 def title_match(spark, sf):
-    return keyword.field_scores(*_keyword_parts(spark, sf)).select("query_id", "chunk_id", F.round("title_match_score", 6).alias("score"))
+    return keyword.field_scores(_keyword_parts(spark, sf)).select("query_id", "chunk_id", F.round("title_match_score", 6).alias("score"))
 
 
 @query("r4_month_boost", s.build("""
 SELECT query_id, chunk_id, month_match, round(bm25_score, 5) AS bm25, round(title_match_score, 6) AS title FROM km_score""", "km_score"))
 def month_boost(spark, sf):
-    return keyword.field_scores(*_month_parts(spark, sf)).select(
+    return keyword.field_scores(_month_parts(spark, sf)).select(
         "query_id", "chunk_id", "month_match", F.round("bm25_score", 5).alias("bm25"), F.round("title_match_score", 6).alias("title"))
 
 
@@ -145,8 +143,7 @@ def top_pages(spark, sf):
 @query("r5_korean_pages", s.build(
     "SELECT query_id, rank, chunk_id, round(total, 5) AS total FROM km_top WHERE rank <= 5", "km_top"))
 def korean_pages(spark, sf):
-    texts, rows, queries = _month_parts(spark, sf)
-    found = keyword.rank_pages(keyword.field_scores(texts, rows, queries), k=5)
+    found = keyword.rank_pages(keyword.field_scores(_month_parts(spark, sf)), k=5)
     return found.select("query_id", "rank", "chunk_id", F.round("total", 5).alias("total"))
 
 
@@ -184,6 +181,10 @@ def label_centroids(spark, sf):
 # --- R7: status retrieval over issue and summary chunks -----------------------------------------------------------
 
 def status_chunks(spark, sf):
+    return d.stored(spark, sf, "status_chunks", _status_chunks)
+
+
+def _status_chunks(spark, sf):
     overview = issues.newest(issues.overview(d.issues(spark, sf)))
     stride = splitter.stride_chunks(F.col("text"))
     found = issue_chunk_table(spark, sf).unionByName(
@@ -442,17 +443,18 @@ SELECT query_id, chunk_id, coalesce(list_min(list_transform({_day}, lambda x: CA
 FROM g WHERE CASE WHEN any_meeting THEN meeting WHEN any_hit THEN hit ELSE true END""", "months_", "dated_"))
 def month_narrowing(spark, sf):
     questions = d.month_questions(spark, sf)
-    team = d.dated_pages(spark, sf).filter("space = 'TEAM'").select("chunk_id", "title", "breadcrumb", "space")
+    team = mention_context.month_facts(d.dated_pages(spark, sf).filter("space = 'TEAM'")).select(
+        "chunk_id", "space", "months", "is_meeting", "first_day")
     docs = team.join(questions.select("query_id").withColumn("space", F.lit("TEAM")), "space")
     kept = mention_context.narrow_to_months(docs, questions)
-    day = korean.month_sort_key(korean.locator(F.col("title"), F.col("breadcrumb")))
+    day = F.col("first_day")
     return kept.select("query_id", "chunk_id", (day["m"] * 100 + day["d"]).cast("int").alias("day"))
 
 
 # --- R23-R25: issue summaries ---------------------------------------------------------------------------------------------------
 
 def _capped_issue_chunks(spark, sf):
-    return issue_chunk_table(spark, sf, newest=fv.MAX_ISSUES)
+    return d.stored(spark, sf, "issue_chunks", lambda *a: issue_chunk_table(*a, newest=fv.MAX_ISSUES))
 
 
 s.cte("capped_", "SELECT c.* FROM issue_chunks_ c SEMI JOIN newest_ n ON n.key = c.issue_key", "issue_chunks_", "newest_")

@@ -67,7 +67,7 @@ def issue_keys(spark, sf):
 @query("i12_stride_chunks", s.build(
     "SELECT chunk_id, chunk_index, md5(page_content) AS piece, length(page_content) AS chars FROM chunks_", "chunks_"))
 def stride_chunks(spark, sf):
-    return d.chunks(spark, sf).select(
+    return d.cut_pages(spark, sf).select(
         "chunk_id", "chunk_index", F.md5("page_content").alias("piece"), F.length("page_content").alias("chars"))
 
 
