@@ -42,19 +42,23 @@ def searchable_chunks(chunks: DataFrame, now_year: int) -> DataFrame:
     )
 
 
-def term_hits(texts: DataFrame, terms: DataFrame, max_shipped: int = MAX_SHIPPED_TERMS) -> DataFrame:
-    """(chunk, term) rows with counts per field, computed once for all queries."""
+def scan_chunks(texts: DataFrame, terms: DataFrame, max_shipped: int = MAX_SHIPPED_TERMS) -> DataFrame:
+    """One row per chunk: lengths, months and, for every term found, its count per field."""
     scan = texts.withColumn("scan", F.concat_ws("\n", "gate", F.concat("title", "keyword")))
     found = with_matches(scan, terms, "chunk_id", "scan", max_shipped)
 
-    def facts(head):
+    def facts(text):
         return F.transform("found", lambda t: F.struct(
-            t.alias("term"), F.contains("gate", t).alias("in_gate"), F.contains(head, t).alias("in_head"),
-            *[occurrences(F.col(f), t).alias(f"tf_{f}") for f in FIELDS]))
+            t.alias("term"), F.contains(text["gate"], t).alias("in_gate"), F.contains(text["head"], t).alias("in_head"),
+            *[occurrences(text[f], t).alias(f"tf_{f}") for f in FIELDS]))
 
-    # counted before the terms become rows, so that the long texts are not copied per term
-    counted = found.select("chunk_id", "page_id", *_lengths(), let(F.concat("title", "keyword"), facts).alias("facts"))
-    return counted.select("chunk_id", "page_id", *LENGTHS, F.explode("facts").alias("fact")).select(
+    # the texts are bound once per row and counted before terms become rows, so nothing long is copied per term
+    bound = F.struct("title", "keyword", "content", "gate", F.concat("title", "keyword").alias("head"))
+    return found.select("chunk_id", "page_id", "months", *_lengths(), let(bound, facts).alias("facts"))
+
+
+def term_hits(scanned: DataFrame) -> DataFrame:
+    return scanned.select("chunk_id", "page_id", *LENGTHS, F.explode("facts").alias("fact")).select(
         "chunk_id", "page_id", *LENGTHS, "fact.*")
 
 
@@ -116,8 +120,8 @@ def prepare(chunks: DataFrame, terms: DataFrame, months: DataFrame | None, now_y
             max_shipped: int = MAX_SHIPPED_TERMS) -> Prepared:
     """Scan the chunks once for all terms; every later step works on the hits."""
     texts = searchable_chunks(chunks, now_year)
-    hits = stage(term_hits(texts, terms, max_shipped), "term_hits")
-    facts = stage(texts.select("chunk_id", "page_id", "months", *_lengths()), "chunk_facts")
+    scanned = stage(scan_chunks(texts, terms, max_shipped), "scanned_chunks")
+    hits, facts = term_hits(scanned), scanned.drop("facts")
     queries = _queries(terms, months)
     return Prepared(facts, hits, terms, queries, stage(_gated_pairs(facts, hits, terms, queries), "gated_pairs"))
 
