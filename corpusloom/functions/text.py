@@ -93,8 +93,8 @@ def general_terms(c: Column) -> Column:
 
 def occurrences(text: Column, term: Column) -> Column:
     """Non-overlapping occurrences of a non-empty term."""
-    removed = F.length(text) - F.length(F.replace(text, term, F.lit("")))
-    return (removed / F.length(term)).cast("int")
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, term, F.lit("")))
+    return (removed / F.octet_length(term)).cast("int")
 
 
 def site_url(c: Column) -> Column:

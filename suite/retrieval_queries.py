@@ -8,6 +8,7 @@ from corpusloom.operators import (context, fusion, issue_summary, issues, keywor
                                   vector)
 from corpusloom.operators.ranking import numbered
 from corpusloom.plans import retrieve
+from corpusloom.storage import stage
 from suite import domain as d
 from suite import sql as s
 from suite.ingest_queries import issue_chunk_table
@@ -676,18 +677,19 @@ def retrieved(spark, sf):
     vectors = d.benchmark_vectors(spark, sf).withColumn("query_id", F.split("query_id", ":")[0])
     near = vector.nearest(d.chunk_embeddings(spark, sf), vectors, fv.VECTOR_TOP_K)
     lists = by_keyword.unionByName(near.select("query_id", F.lit("vector").alias("list"), "rank", "chunk_id"), allowMissingColumns=True)
-    return fusion.fuse(lists.join(chunks.select("chunk_id", "title"), "chunk_id"), terms)
+    return fusion.fuse(stage(lists.join(chunks.select("chunk_id", "title"), "chunk_id"), "ranked_lists"), terms)
 
 
 def assembled(spark, sf):
     """The flagship job: retrieve, fuse, expand, pick long documents and pack."""
     chunks, queries = d.chunks(spark, sf), d.benchmark_queries(spark, sf)
-    hits = retrieved(spark, sf).join(chunks.select("chunk_id", "page_id", "source_type"), "chunk_id")
-    expanded = context.expand_siblings(hits, chunks, k=24)
-    docs = expanded.join(chunks, "chunk_id")
+    # short lists that several later steps read are written once
+    hits = stage(retrieved(spark, sf).join(chunks.select("chunk_id", "page_id", "source_type"), "chunk_id"), "hits")
+    docs = stage(context.expand_siblings(hits, chunks, k=24).join(chunks, "chunk_id"), "expanded")
     routes = queries.withColumn("route", F.lit("exact_lookup")).withColumns(
         {"long_doc_neighbor_window": F.lit(4), "long_doc_detail_chunks": F.lit(48)})
-    chosen = context.select_long_documents(docs, routes).join(chunks.select("chunk_id", "page_id", "page_content"), "chunk_id")
+    texts = docs.select("query_id", "chunk_id", "page_id", "page_content")
+    chosen = context.select_long_documents(docs, routes).join(texts, ["query_id", "chunk_id"])
     return context.context_text(context.pack(chosen, F.lit(18000)))
 
 
