@@ -1,5 +1,9 @@
 """Session settings the jobs expect; everything else is left to the cluster."""
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -22,3 +26,18 @@ def local(cores: int = 8, memory: str = "8g") -> SparkSession:
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+_SHIPPED = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="corpusloom-code-"), "corpusloom"), "zip",
+                                  os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
