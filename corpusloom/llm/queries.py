@@ -1,9 +1,10 @@
 """The registered queries of this folder and their SQL."""
 
-from corpusloom.llm import langid, quality
+from corpusloom.llm import langid, quality, simhash
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op5_language_id": langid.op5_language_id,
+    "op6_simhash": simhash.op6_simhash,
 }
 ORACLES: dict[str, str] = {}
