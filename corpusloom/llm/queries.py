@@ -1,10 +1,11 @@
 """The registered queries of this folder and their SQL."""
 
-from corpusloom.llm import langid, quality, simhash
+from corpusloom.llm import langid, quality, secrets, simhash
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op5_language_id": langid.op5_language_id,
     "op6_simhash": simhash.op6_simhash,
+    "op8_secret_scan": secrets.op8_secret_scan,
 }
 ORACLES: dict[str, str] = {}
