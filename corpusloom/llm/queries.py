@@ -1,10 +1,11 @@
 """The registered queries of this folder and their SQL."""
 
-from corpusloom.llm import langid, matrices, packing, quality, secrets, simhash
+from corpusloom.llm import langid, matrices, packing, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_id_matrices": matrices.op1_id_matrices,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_warc": warc.op3_warc,
     "op4_online_packing": packing.op4_online_packing,
     "op5_language_id": langid.op5_language_id,
     "op6_simhash": simhash.op6_simhash,
