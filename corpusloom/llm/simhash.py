@@ -36,7 +36,7 @@ from corpusloom.storage import stage
 
 SEED, BITS = 42, 64
 #: Nodes of a tree, about; nodes and searches handled at once.
-LARGE, BLOCK, SEARCHES = 2048, 1 << 17, 4096
+LARGE, BLOCK, SEARCHES = 2048, 1 << 16, 256
 
 
 def fingerprint(text: str | None, size: int) -> int:
