@@ -197,7 +197,9 @@ class WordBpe:
         known = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, range(0x110000))))
         pieces = self.library.pre_tokenizer.pre_tokenize_str(" ".join("!" + c for c in known))
         late = {known[start // 3] for _, (start, end) in pieces if end - start == 2}
-        late |= {c for c in known if c.lower() != c and self.library.normalizer.normalize_str(c) != normalised(c)}
+        alone = "!".join(known)
+        theirs, ours = self.library.normalizer.normalize_str(alone).split("!"), normalised(alone).split("!")
+        late |= {c for c, a, b in zip(known, theirs, ours, strict=True) if a != b}
         return regex.compile(f"[{''.join(map(regex.escape, sorted(late)))}]" if late else r"(?!)")
 
     def decoded(self, ids: bytes) -> Iterator[str]:
