@@ -1,6 +1,6 @@
 """The registered queries of this folder and their SQL."""
 
-from corpusloom.llm import langid, matrices, onebit, packing, quality, secrets, simhash, transducer, warc
+from corpusloom.llm import chat, langid, matrices, onebit, packing, quality, secrets, simhash, transducer, warc
 
 QUERIES = {
     "op1_id_matrices": matrices.op1_id_matrices,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_online_packing": packing.op4_online_packing,
     "op5_language_id": langid.op5_language_id,
     "op6_simhash": simhash.op6_simhash,
+    "op7_chat_windows": chat.op7_chat_windows,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_bpe_transducer": transducer.op9_bpe_transducer,
     "op10_onebit_neighbours": onebit.op10_onebit_neighbours,
