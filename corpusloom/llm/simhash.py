@@ -14,7 +14,7 @@ than nodes, so dense groups of near-copies never become all their pairs.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked like any other. Fewer words than a
 shingle: the whole sequence is the shingle. Repeated rows are members of their group each. A null id is never a group's
-name unless all are null; other columns are ignored by ``groups`` and kept by ``one_of_each``.
+name unless all are null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,14 +70,14 @@ class Forest:
     """The BK-trees of several shards. ``shard`` is sorted; prints differ within a shard."""
 
     def __init__(self, shard: np.ndarray, prints: np.ndarray):
-        self.prints, n = prints, len(prints)
+        self.prints, n = prints.astype(np.int64).view(np.uint64), len(prints)  # bits of signed numbers aren't counted as such
         self.shards, first = np.unique(shard, return_index=True)
         self.roots = first
         at = np.repeat(first, np.diff(np.append(first, n)))
         self.key = np.full(n, -1, np.int64)
         left = np.flatnonzero(np.arange(n) != at)
         while left.size:
-            key = at[left] * (BITS + 1) + np.bitwise_count(prints[left] ^ prints[at[left]])
+            key = at[left] * (BITS + 1) + np.bitwise_count(self.prints[left] ^ self.prints[at[left]])
             kinds, head, which = np.unique(key, return_index=True, return_inverse=True)
             child = left[head]  # the first that comes with a distance becomes the child, the others go on below it
             self.key[child] = kinds
@@ -89,7 +89,7 @@ class Forest:
 
     def search(self, shard: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of a search, node) for all nodes of its shard within the radius."""
-        where = np.searchsorted(self.shards, shard)
+        prints, where = prints.astype(np.int64).view(np.uint64), np.searchsorted(self.shards, shard)
         found = (where < len(self.shards)) & (self.shards[np.minimum(where, len(self.shards) - 1)] == shard)
         query = np.flatnonzero(found)
         node = self.roots[where[query]]
@@ -106,14 +106,14 @@ class Forest:
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Give linked entries the smallest label among them, to the end."""
+    """Join the groups of linked entries; an entry's label is the smallest entry of its group."""
     while True:
-        low = np.minimum(label[a], label[b])
-        if (label[a] == low).all() and (label[b] == low).all():
+        of_a, of_b = label[a], label[b]
+        if (of_a == of_b).all():
             return
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label[:] = label[label]
+        np.minimum.at(label, np.maximum(of_a, of_b), np.minimum(of_a, of_b))  # a group's first entry takes all others with it
+        while not ((below := label[label]) == label).all():
+            label[:] = below
 
 
 def _stars(shard: np.ndarray, prints: np.ndarray, in_tree: np.ndarray, searches: np.ndarray, radius: int) -> pa.RecordBatch | None:
@@ -196,22 +196,6 @@ def groups(docs: DataFrame, size: int, radius: int, *keys: str) -> DataFrame:
     return prints.join(tagged.select("fingerprint", "root").join(names, "root").drop("root"), "fingerprint").select(*keys, "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, size: int, radius: int) -> DataFrame:
-    """The documents without near-copies: of each group the row with the smallest id, as it is.
-
-    Ids may repeat, so a row is known by its id and a hash of all its columns; of rows that are equal in both, one stays.
-    """
-    keyed = docs.withColumn("row_", F.xxhash64(*docs.columns))
-    grouped = groups(keyed, size, radius, "doc_id", "row_")
-    # null ids come last
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_")
-    stay = grouped.withColumn("group_", F.coalesce(F.struct("component_id", F.lit(0).alias("f")), F.struct(F.lit(None).cast("long"), "fingerprint"))).groupBy("group_").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("id_"), F.col("o.row_").alias("r_"))
-    first = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("row_") == F.col("r_")), "left_semi")
-    from pyspark.sql import Window
-    place = F.row_number().over(Window.partitionBy("doc_id", "row_").orderBy("row_"))
-    return first.withColumn("place_", place).where("place_ = 1").select(*docs.columns)
-
-
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: shingles of four words, at most four differing bits."""
     ship(spark)
