@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import langid, quality
+from corpusloom.llm import dedup, langid, packing, quality, secrets
+from corpusloom.llm.common import vocabulary
 from corpusloom.session import ship
 from corpusloom.storage import stage
 
@@ -21,9 +22,30 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.clean(docs)
 
 
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 0.8 or more of its shingles of five words."""
+    ship(spark)
+    return dedup.one_of_each(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced in their texts."""
+    ship(spark)
+    return secrets.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids with their places in sequences of 1024."""
+    ship(spark)
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("language", identify_language),
     ("quality", filter_quality),
+    ("near_copies", remove_near_copies),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
 ]
 ORACLE_SQL = None  # prediction by partial matching has no SQL form
 
