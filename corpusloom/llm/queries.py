@@ -1,6 +1,7 @@
 """The registered queries of this folder and their SQL."""
 
 from corpusloom.llm import chat, langid, matrices, onebit, packing, quality, secrets, simhash, transducer, warc
+from corpusloom.llm.sql import ORACLES  # noqa: F401
 
 QUERIES = {
     "op1_id_matrices": matrices.op1_id_matrices,
@@ -14,4 +15,3 @@ QUERIES = {
     "op9_bpe_transducer": transducer.op9_bpe_transducer,
     "op10_onebit_neighbours": onebit.op10_onebit_neighbours,
 }
-ORACLES: dict[str, str] = {}
