@@ -69,11 +69,6 @@ def random_parts(run: str, bits: float, kinds: tuple) -> Iterator[tuple[int, int
     start = end = -1
     most = WINDOW * (log2(WINDOW) - bits) + 1e-9
     for i, c in enumerate(run):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        weight += _WEIGHT[n + 1] - _WEIGHT[n]
-        for k, has in enumerate(kinds):
-            mix[k] += has(c)
         if i >= WINDOW:
             old = run[i - WINDOW]
             n = counts[old]
@@ -81,6 +76,11 @@ def random_parts(run: str, bits: float, kinds: tuple) -> Iterator[tuple[int, int
             weight += _WEIGHT[n - 1] - _WEIGHT[n]
             for k, has in enumerate(kinds):
                 mix[k] -= has(old)
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        weight += _WEIGHT[n + 1] - _WEIGHT[n]
+        for k, has in enumerate(kinds):
+            mix[k] += has(c)
         if i >= WINDOW - 1 and weight <= most and all(mix):
             first = i - WINDOW + 1
             if first > end:
