@@ -149,11 +149,12 @@ class ContextTrees:
     def _add(self, held: list[tuple[int, bytes]], out: np.ndarray) -> None:
         c = self.classes[np.frombuffer(b"".join(p for _, p in held), np.uint8)]
         node = self.longest[(c[:-3] * self.size + c[1:-2]) * self.size + c[2:-1]]
-        rows = np.take(self.bits, node.astype(np.int64) * self.size + c[3:], axis=0)
+        rows = np.zeros((len(node) + 1, self.bits.shape[1]), np.float32)
+        np.take(self.bits, node.astype(np.int64) * self.size + c[3:], axis=0, out=rows[:-1])
         ends = np.cumsum([len(p) for _, p in held])
         starts = ends - [len(p) for _, p in held]
         # a piece of k bytes after its context has k - 3 code lengths; the three that follow span two pieces
-        sums = np.add.reduceat(rows, np.stack([starts, np.minimum(ends - ORDER, len(rows) - 1)], 1).ravel(), axis=0, dtype=np.float64)[::2]
+        sums = np.add.reduceat(rows, np.stack([starts, ends - ORDER], 1).ravel(), axis=0, dtype=np.float64)[::2]
         np.add.at(out, [i for i, _ in held], sums)
 
 
