@@ -161,9 +161,9 @@ def near_copies(nodes: DataFrame, similarity: float) -> DataFrame:
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without near-copies: of each group the row with the smallest id, as it is."""
-    keyed = docs.withColumn("row_", F.xxhash64(*docs.columns))
+    keyed = docs.select(F.struct(*docs.columns).alias("document"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(*docs.columns).alias("row_"))
     kind = "doc_id long, row_ long, fingerprint long, keys array<long>, signature binary, shingles binary"
-    made = keyed.select(F.col("doc_id").cast("long"), "row_", "text").mapInArrow(_profiles(size), kind)
+    made = keyed.select("doc_id", "row_", "text").mapInArrow(_profiles(size), kind)
     made = stage(made.withColumn("node", F.xxhash64("fingerprint", "signature", "shingles")), "profiles")
     # equal texts are one node from the start
     nodes = stage(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fingerprint", "keys", "signature", "shingles")]), "nodes")
@@ -174,4 +174,4 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
             .agg(F.min("o").alias("o")).select(F.col("o.doc_id").alias("id_"), F.col("o.row_").alias("r_")))
     first = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("row_") == F.col("r_")), "left_semi")
     place = F.row_number().over(Window.partitionBy("doc_id", "row_").orderBy("row_"))
-    return first.withColumn("place_", place).where("place_ = 1").select(*docs.columns)
+    return first.withColumn("place_", place).where("place_ = 1").select("document.*")
