@@ -2,6 +2,7 @@
 
 import re
 from html.parser import HTMLParser
+from itertools import chain, zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -138,25 +139,19 @@ def inline_cell(cell):
 
 
 def is_issue_table(rows):
-    if len(rows) < 2:
-        return False
-    names = {name.strip().lower() for name in rows[0]}
-    has_key = any(ISSUE_KEY.search(cell) for row in rows[1:] for cell in row)
-    return names >= {"key", "summary", "status"} and has_key
+    """Whether a table lists issues: its first row names key, summary and status, and a later cell holds an issue key."""
+    head, *body = rows or [[]]
+    return {"key", "summary", "status"}.issubset(cell.strip().lower() for cell in head) and any(map(ISSUE_KEY.search, chain(*body)))
 
 
 def render_table(rows, has_header):
     """Marked text block of a table; short rows are padded."""
-    if not rows:
+    grid = list(zip(*zip_longest(*rows, fillvalue=""), strict=True))
+    if not grid:
         return ""
-    width = max(map(len, rows))
-    grid = [row + [""] * (width - len(row)) for row in rows]
-    head = grid.pop(0) if has_header else [f"Column {i}" for i in range(1, width + 1)]
-    body = [head, ["---"] * width, *grid]
-    return "\n".join([
-        "[Table start]", f"Rows: {len(grid)}", "Columns: " + ", ".join(head), "",
-        *("| " + " | ".join(row) + " |" for row in body), "[Table end]",
-    ])
+    names = grid.pop(0) if has_header else tuple(f"Column {i + 1}" for i in range(len(grid[0])))
+    lines = [f"| {' | '.join(row)} |" for row in (names, ("---",) * len(names), *grid)]
+    return f"[Table start]\nRows: {len(grid)}\nColumns: {', '.join(names)}\n\n" + "\n".join([*lines, "[Table end]"])
 
 
 def table_text(table):
