@@ -51,8 +51,8 @@ def first_date(due: Column, fields: Column) -> Column:
     return F.coalesce(blank_to_null(due), F.get(date_fields(fields), F.lit(0))["text"])
 
 
-def newest(issues: DataFrame, limit: int = fv.MAX_ISSUES) -> DataFrame:
-    """Newest issues of every project."""
+def newest(issues: DataFrame, limit: int) -> DataFrame:
+    """The newest so many issues of every project."""
     return top_k(issues, ["project"], [F.desc("updated"), F.col("key")], limit, name="newest_no")
 
 

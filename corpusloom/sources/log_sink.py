@@ -1,5 +1,7 @@
 """Appending query-log records by day, and dropping old days."""
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -23,7 +25,24 @@ def within_retention(records: DataFrame, now: Column, days: int) -> DataFrame:
     return records if days <= 0 else records.filter(F.col("timestamp") >= now - F.make_interval(days=F.lit(days)))
 
 
-def expired_days(spark: SparkSession, directory: str, today: str, days: int) -> DataFrame:
-    """Day partitions that retention removes; only folder names are read."""
-    found = spark.read.option("basePath", directory).json(directory, schema="log_date string").select("log_date").distinct()
-    return found.filter(F.to_date("log_date") < F.date_sub(F.to_date(F.lit(today)), days)) if days > 0 else found.limit(0)
+def day_folders(spark: SparkSession, directory: str) -> list[str]:
+    """The days that have a folder; names only, no file is opened."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+    return sorted(n.removeprefix("log_date=") for n in names if n.startswith("log_date="))
+
+
+def expired_days(spark: SparkSession, directory: str, today: str, days: int) -> list[str]:
+    """Days older than the last ``days`` days; 0 or less keeps all."""
+    first = (date.fromisoformat(today) - timedelta(days=days)).isoformat()
+    return [d for d in day_folders(spark, directory) if d < first] if days > 0 else []
+
+
+def drop_expired(spark: SparkSession, directory: str, today: str, days: int) -> list[str]:
+    """Remove the folders of expired days; returns the removed days."""
+    gone = expired_days(spark, directory, today, days)
+    for day in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/log_date={day}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone

@@ -19,11 +19,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 DOCUMENT = {  # BOTH
     "page_id": "CAST(doc_id AS STRING)",
-    "title": "substr(split_part(text, chr(10), 1), 1, 80)",
+    "title": "split_part(text, chr(10), 1)",
     "url": "concat('https://kb.example.com/pages/', CAST(doc_id AS STRING))",
     "space": "source",
     "space_name": "concat('Space ', source)",
-    "breadcrumb": "concat(lang, ' > ', source, ' > ', substr(split_part(text, chr(10), 1), 1, 80))",
+    "breadcrumb": "concat(lang, ' > ', source, ' > ', split_part(text, chr(10), 1))",
     "source_type": "'confluence'",
     "content_type": "'page'",
     "text": "text",
@@ -278,9 +278,9 @@ RANKED_QUERY = {  # BOTH
 
 
 def ranked_lists(spark, sf):
-    from corpusloom.operators.ranking import top_k
+    from corpusloom.operators.ranking import numbered
     rows = pick(table(spark, sf, "events").filter(RANKED_FROM), RANKED)
-    return top_k(rows, ["query_id", "list"], [F.col("event_id")], 10)
+    return numbered(rows, ["query_id", "list"], [F.col("event_id")])
 
 
 def ranked_queries(spark, sf):

@@ -1,7 +1,10 @@
 """Scans, writes, page preparation, issues and the source catalogue."""
 
-from pyspark.sql import functions as F
+from functools import reduce
 
+from pyspark.sql import DataFrame, functions as F
+
+from corpusloom import fixed_values as fv
 from corpusloom.functions import html, richdoc, splitter, status, text
 from corpusloom.operators import catalogue, issues, prepare
 from corpusloom.operators.vector import dimension_guard
@@ -125,12 +128,13 @@ def _issue_json(spark, sf, project=None):
 
 
 @query("s3_landed_issues", s.build("""
-SELECT key, project_name, status_name, status_key, assignee, updated, duedate, priority FROM (
-  SELECT *, row_number() OVER (PARTITION BY project ORDER BY updated DESC, key) AS n FROM issues_ WHERE project = 'BUILDING') WHERE n <= 1000""",
-                                   "issues_"))
+SELECT key, project_name, status_name, status_key, assignee, updated, duedate, priority FROM issues_""", "issues_"))
 def landed_issues(spark, sf):
-    path = _land(_issue_json(spark, sf).filter("project = 'BUILDING'").select("key", "fields"), "issues")
-    rows = landed.issues(spark, path, "BUILDING")
+    """Every project's own landed file, read as one."""
+    path = work_dir(spark) + "/issues"
+    _issue_json(spark, sf).write.partitionBy("project").json(path)
+    projects = [r.project for r in d.issues(spark, sf).select("project").distinct().collect()]  # the five segments
+    rows = reduce(DataFrame.unionByName, [landed.issues(spark, f"{path}/project={p}", p) for p in sorted(projects)])
     return rows.select("key", "project_name", "status_name", "status_key", "assignee", "updated", "duedate", "priority")
 
 
@@ -577,13 +581,13 @@ s.cte("summary_", f"""
 @query("j8_project_summary", s.build(
     "SELECT project, issues, todo, in_progress, done, md5(text) AS text FROM summary_", "summary_"))
 def project_summary(spark, sf):
-    rows = issues.project_summary(issues.newest(issues.overview(d.issues(spark, sf))))
+    rows = issues.project_summary(issues.newest(issues.overview(d.issues(spark, sf)), fv.MAX_ISSUES))
     return rows.select("project", "issues", "todo", "in_progress", "done", F.md5("text").alias("text"))
 
 
 @query("j9_newest_issues", s.build("SELECT key, newest_no FROM newest_", "newest_"))
 def newest_issues(spark, sf):
-    return issues.newest(d.issues(spark, sf)).select("key", "newest_no")
+    return issues.newest(d.issues(spark, sf), fv.MAX_ISSUES).select("key", "newest_no")
 
 
 @query("j10_field_dictionary", """

@@ -127,14 +127,22 @@ def target_rows(spark, sf):
     return _rounded(evaluation.target_rows(evaluation.summarise(scores(spark, sf)), targets))
 
 
-@query("e12_two_key_dedupe")
+@query("e12_two_key_dedupe", """
+WITH RECURSIVE v AS (SELECT CAST(user_id AS VARCHAR) AS case_id, 'p' || event_id % 9 AS page_id, 't' || event_id % 7 AS title,
+                            row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events),
+f AS (SELECT case_id, rank, page_id, title, [page_id] AS pages, [title] AS titles, true AS kept FROM v WHERE rank = 1
+      UNION ALL
+      SELECT v.case_id, v.rank, v.page_id, v.title, CASE WHEN seen THEN pages ELSE list_append(pages, v.page_id) END,
+             CASE WHEN seen THEN titles ELSE list_append(titles, v.title) END, NOT seen
+      FROM f JOIN v ON v.case_id = f.case_id AND v.rank = f.rank + 1, LATERAL (SELECT list_contains(pages, v.page_id) OR list_contains(titles, v.title) AS seen))
+SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY rank) - 1 AS INT) AS place, page_id, title FROM f WHERE kept""")
 def two_key_dedupe(spark, sf):
-    """Ranked pages per user, first 40 views: a page goes when its id or its title was kept before."""
-    rows = d.pick(d.table(spark, sf, "events"), {"case_id": "user_id", "page_id": "concat('p', CAST(event_id % 9 AS STRING))",
+    """Ranked pages per user: a page goes when its id or its title was kept before."""
+    rows = d.pick(d.table(spark, sf, "events"), {"case_id": "CAST(user_id AS STRING)", "page_id": "concat('p', CAST(event_id % 9 AS STRING))",
                                                  "title": "concat('t', CAST(event_id % 7 AS STRING))", "event_id": "event_id"})
-    from corpusloom.operators.ranking import top_k
+    from corpusloom.operators.ranking import numbered
     page = evaluation.ranked_page(F.col("page_id"), F.col("title"))
-    lists = top_k(rows, ["case_id"], [F.col("event_id")], 40).groupBy("case_id").agg(
+    lists = numbered(rows, ["case_id"], [F.col("event_id")]).groupBy("case_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", page.alias("page")))), lambda x: x["page"]).alias("pages"))
     kept = lists.select("case_id", F.posexplode(evaluation.dedupe_on_two_keys(F.col("pages"))).alias("place", "page"))
     return kept.select("case_id", "place", "page.page_id", "page.title")

@@ -128,10 +128,13 @@ def title_match(spark, sf):
 
 
 @query("r4_month_boost", s.build("""
-SELECT query_id, chunk_id, month_match, round(bm25_score, 5) AS bm25, round(title_match_score, 6) AS title FROM km_score""", "km_score"))
+SELECT query_id, month_match, count(*) AS chunks, round(min(bm25_score), 5) AS least, round(max(bm25_score), 5) AS most,
+       round(max(title_match_score), 6) AS title, round(avg(bm25_score), 4) AS mean FROM km_score GROUP BY ALL""", "km_score"))
 def month_boost(spark, sf):
-    return keyword.field_scores(_month_parts(spark, sf)).select(
-        "query_id", "chunk_id", "month_match", F.round("bm25_score", 5).alias("bm25"), F.round("title_match_score", 6).alias("title"))
+    """Scores per question, with and without a month in common; the pairs themselves are as many as pages times questions."""
+    return keyword.field_scores(_month_parts(spark, sf)).groupBy("query_id", "month_match").agg(
+        F.count("*").alias("chunks"), F.round(F.min("bm25_score"), 5).alias("least"), F.round(F.max("bm25_score"), 5).alias("most"),
+        F.round(F.max("title_match_score"), 6).alias("title"), F.round(F.avg("bm25_score"), 4).alias("mean"))
 
 
 @query("r5_top_pages", s.build(
@@ -186,7 +189,7 @@ def status_chunks(spark, sf):
 
 
 def _status_chunks(spark, sf):
-    overview = issues.newest(issues.overview(d.issues(spark, sf)))
+    overview = issues.newest(issues.overview(d.issues(spark, sf)), fv.MAX_ISSUES)
     stride = splitter.stride_chunks(F.col("text"))
     found = issue_chunk_table(spark, sf).unionByName(
         issues.summary_chunks(issues.project_summary(overview), pieces=stride), allowMissingColumns=True)
@@ -309,14 +312,14 @@ BUCKETED = {  # BOTH
 
 @query("r15_bucket_fan_out", f"""
 WITH b AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket_no ORDER BY event_id) AS rank FROM (SELECT {d.both(BUCKETED)} FROM events)),
-f AS (SELECT query_id, bucket_no, chunk_id, min(rank) AS rank FROM b WHERE rank <= 6 GROUP BY 1, 2, 3),
+f AS (SELECT query_id, bucket_no, chunk_id, min(rank) AS rank FROM b GROUP BY 1, 2, 3),
 k AS (SELECT query_id, count(DISTINCT bucket_no) AS n FROM f GROUP BY 1),
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY bucket_no, rank) AS copy FROM f JOIN k USING (query_id) WHERE n = 1 OR rank <= 2)
 SELECT query_id, bucket_no, chunk_id, CASE WHEN n > 1 THEN '[Target: ' || bucket_no || '주차]' || chr(10) ELSE '' END AS prefix,
        row_number() OVER (PARTITION BY query_id ORDER BY bucket_no, rank, chunk_id) AS rank FROM c WHERE copy = 1""")
 def bucket_fan_out(spark, sf):
-    from corpusloom.operators.ranking import top_k
-    rows = top_k(d.pick(d.table(spark, sf, "events"), BUCKETED), ["query_id", "bucket_no"], [F.col("event_id")], 6)
+    from corpusloom.operators.ranking import numbered
+    rows = numbered(d.pick(d.table(spark, sf, "events"), BUCKETED), ["query_id", "bucket_no"], [F.col("event_id")])
     fused = rows.groupBy("query_id", "bucket_no", "chunk_id").agg(F.min("rank").alias("rank"))
     buckets = fused.select("query_id", "bucket_no").distinct().withColumn("label", F.concat(F.col("bucket_no").cast("string"), F.lit("주차")))
     return fusion.fan_out(fused, buckets).select("query_id", "bucket_no", "chunk_id", "prefix", "rank")
@@ -532,7 +535,7 @@ PRIOR = {  # BOTH
     "query_id": "doc_id % 60", "source_no": "doc_id", "page_id": "CASE WHEN doc_id % 4 = 0 THEN CAST(doc_id AS STRING) END",
     "url": "CASE WHEN doc_id % 4 IN (0, 1) THEN concat('https://kb.example.com/pages/', CAST(doc_id AS STRING)) END",
     "source_type": "CASE WHEN doc_id % 5 > 0 THEN 'confluence' END", "space": "CASE WHEN doc_id % 4 IN (1, 3) THEN source END",
-    "title": "CASE WHEN doc_id % 4 <= 2 THEN substr(split_part(text, chr(10), 1), 1, 80) END",
+    "title": "CASE WHEN doc_id % 4 <= 2 THEN split_part(text, chr(10), 1) END",
 }
 
 

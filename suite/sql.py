@@ -150,7 +150,7 @@ cte("months_", f"SELECT DISTINCT {d.both(d.MONTH_QUESTION)} FROM orders")
 cte("log_", f"SELECT {d.both(d.LOG)}, ts FROM events")
 cte("ranked_", f"""
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, list ORDER BY event_id) AS rank FROM
-    (SELECT {d.both(d.RANKED)} FROM events WHERE {d.RANKED_FROM})) WHERE rank <= 10""")
+    (SELECT {d.both(d.RANKED)} FROM events WHERE {d.RANKED_FROM}))""")
 cte("ranked_queries_", f"SELECT DISTINCT {d.both(d.RANKED_QUERY)} FROM events")
 cte("ranked_terms_", "SELECT query_id, unnest(regexp_extract_all(query, '[a-z]+')) AS term FROM ranked_queries_", "ranked_queries_")
 cte("issue_questions_", f"SELECT DISTINCT {d.both(d.ISSUE_QUESTION)} FROM orders JOIN customer ON o_custkey = c_custkey")

@@ -85,8 +85,10 @@ def test_vector_paths_agree_with_brute_force(spark):
     asked = {f"q{i}": rng.normal(size=8) for i in range(5)}
     make = lambda d, n: spark.createDataFrame([(k, [float(x) for x in v]) for k, v in d.items()], f"{n} string, embedding array<double>")
     unit = lambda v: v / np.linalg.norm(v)
-    for options in ({}, {"max_shipped": 1, "query_block": 2, "chunk_block": 50}):
-        got = vector.nearest(make(data, "chunk_id"), make(asked, "query_id"), 4, **options).collect()
+    odd = [("null", None), ("hole", [1.0, None] + [0.0] * 6), ("short", [1.0])]
+    chunks = make(data, "chunk_id").union(spark.createDataFrame(odd, "chunk_id string, embedding array<double>"))
+    for size in (vector.BLOCK_BYTES, 200):
+        got = vector.nearest(chunks, make(asked, "query_id"), 4, block_bytes=size).collect()
         for q, v in asked.items():
             best = sorted(data, key=lambda k: -float(unit(data[k]) @ unit(v)))[:4]
             assert [r.chunk_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == best
