@@ -8,6 +8,7 @@ from corpusloom import fixed_values as fv
 from corpusloom.functions import html, richdoc, splitter, status, text
 from corpusloom.operators import catalogue, issues, prepare
 from corpusloom.operators.vector import dimension_guard
+from corpusloom.plans import ingest
 from corpusloom.sources import landed, log_sink, snapshot
 from corpusloom.storage import stage, work_dir
 from suite import domain as d
@@ -575,13 +576,45 @@ s.cte("summary_", f"""
   'Project: ' || min(project_name) || ' (' || project || ')', 'Total issues indexed: ' || count(*),
   'Status category counts: To do=' || count(*) FILTER (status_category = 'todo') || ', In progress=' || count(*) FILTER (status_category = 'in_progress') ||
   ', Done=' || count(*) FILTER (status_category = 'done'), '', {_block('todo', 'To do')}, {_block('in_progress', 'In progress')}, {_block('done', 'Done')}) AS text
-  FROM newest_ GROUP BY project""", "newest_")
+  FROM overview_ GROUP BY project""", "overview_")
+
+
+# an order as a landed issue: rich description and comments, custom values as plain text
+_extra = ("chr(10) || chr(10) || 'Description:' || chr(10) || 'Order ' || key || ' of ' || project || chr(10) || chr(10) || "
+          "'Comments indexed: 1' || chr(10) || '- ' || reporter || ' at ' || created || ': seen ' || key")
+
+
+@query("plan_ingest_issues", s.build(f"""
+SELECT key || ':0' AS chunk_id, project AS space, 'run2' AS ingest_run_id, status_category AS issue_status_category, due_date,
+       'Chunk: 1/1' || chr(10) || chr(10) || 'Content:' || chr(10) || text || {_extra} AS page_content FROM issue_text_""", "issue_text_"))
+def ingest_issues(spark, sf):
+    """Landed issues of every project to the published chunk table, one snapshot per project; the second run replaces the first."""
+    text_ = lambda *words: F.struct(F.lit("paragraph").alias("type"), F.array(F.struct(F.lit("text").alias("type"), F.concat(*words).alias("text"))).alias("content"))
+    doc = lambda *blocks: F.struct(F.lit("doc").alias("type"), F.array(*blocks).alias("content"))
+    even = F.regexp_extract("key", r"(\d+)$", 1).cast("long") % 2 == 0
+    # the first field has one of two names, so it is one of two fields
+    raw = _issue_json(spark, sf).withColumn("first", F.col("fields.customfield_10001"))
+    raw = raw.withColumn("fields", F.col("fields").dropFields("customfield_10001")).withColumn("fields", F.struct(
+        "fields.*", F.when(~even, F.col("first")).alias("customfield_10000"), F.when(even, F.col("first")).alias("customfield_10001"), doc(text_(F.lit("Order "), F.col("key")), text_(F.lit("of "), F.col("project"))).alias("description"),
+        F.struct(F.array(F.struct(F.col("fields.reporter").alias("author"), F.col("fields.created").alias("created"),
+                                  doc(text_(F.lit("seen "), F.col("key"))).alias("body")),
+                         F.struct(F.col("fields.reporter").alias("author"), F.col("fields.created").alias("created"), doc(text_(F.lit(""))).alias("body"))).alias("comments")).alias("comment")))
+    folder = work_dir(spark)
+    raw.drop("first").write.partitionBy("project").json(f"{folder}/landed")
+    projects = sorted(r.project for r in d.issues(spark, sf).select("project").distinct().collect())  # the five segments
+    names = spark.createDataFrame([("customfield_10000", "담당팀"), ("customfield_10001", "점검일"), ("customfield_10002", "Target Date")], "id string, name string")
+    chunks = reduce(DataFrame.unionByName, [
+        ingest.issue_chunks(ingest.issue_overviews(spark, f"{folder}/landed/project={p}", ingest.Place(p), names), ingest.Place(p)) for p in projects])
+    ingest.publish(chunks, f"{folder}/chunks", "run1")
+    ingest.publish(chunks, f"{folder}/chunks", "run2")
+    rows = snapshot.read_table(spark, f"{folder}/chunks").filter("content_type = 'jira_issue'")
+    return rows.select("chunk_id", F.col("space").cast("string").alias("space"), "ingest_run_id", "issue_status_category", "due_date", "page_content")
 
 
 @query("j8_project_summary", s.build(
     "SELECT project, issues, todo, in_progress, done, md5(text) AS text FROM summary_", "summary_"))
 def project_summary(spark, sf):
-    rows = issues.project_summary(issues.newest(issues.overview(d.issues(spark, sf)), fv.MAX_ISSUES))
+    rows = issues.project_summary(issues.overview(d.issues(spark, sf)))
     return rows.select("project", "issues", "todo", "in_progress", "done", F.md5("text").alias("text"))
 
 

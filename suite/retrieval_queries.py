@@ -189,7 +189,7 @@ def status_chunks(spark, sf):
 
 
 def _status_chunks(spark, sf):
-    overview = issues.newest(issues.overview(d.issues(spark, sf)), fv.MAX_ISSUES)
+    overview = issues.overview(d.issues(spark, sf))
     stride = splitter.stride_chunks(F.col("text"))
     found = issue_chunk_table(spark, sf).unionByName(
         issues.summary_chunks(issues.project_summary(overview), pieces=stride), allowMissingColumns=True)
