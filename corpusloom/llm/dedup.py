@@ -149,13 +149,15 @@ def _search(similarity: float):
 
 
 def near_copies(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): links that connect near-copies, from (node, fingerprint, keys, signature, shingles)."""
-    rows = nodes.select("node", F.posexplode("keys").alias("p", "s")).select(F.col("p").cast("long"), "s", "node")
+    """(u, v): links that connect near-copies, from (node, fingerprint, keys, signature, shingles); equal nodes have equal rows."""
+    first = lambda *columns: nodes.groupBy("node").agg(*[F.first(c).alias(c) for c in columns])
+    rows = first("keys").select("node", F.posexplode("keys").alias("p", "s")).select(F.col("p").cast("long"), "s", "node")
     sizes = rows.groupBy("p", "s").agg(F.count("*").alias("n")).where("n > 1")
     cut = F.ceil(F.col("n") / LARGE).cast("long")
     met = rows.join(sizes, ["p", "s"]).select("p", "s", "node", F.pmod(F.xxhash64("node"), cut).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("other"))
     dealt = met.select("p", "s", F.least("part", "other").alias("tree"), F.greatest("part", "other").alias("asks"), "part", "node")
-    full = dealt.join(nodes.select("node", "fingerprint", "signature", "shingles"), "node")
+    # shards are found on narrow rows; the shingles are dealt by node once, for both the grouping and this join
+    full = dealt.join(first("fingerprint", "signature", "shingles"), "node")
     return full.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node").mapInArrow(_search(similarity), "u long, v long")
 
 
@@ -166,8 +168,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     made = keyed.select("doc_id", "row_", "text").mapInArrow(_profiles(size), kind)
     made = stage(made.withColumn("node", F.xxhash64("fingerprint", "signature", "shingles")), "profiles")
     # equal texts are one node from the start
-    nodes = stage(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fingerprint", "keys", "signature", "shingles")]), "nodes")
-    roots = components(stage(near_copies(nodes, similarity), "stars")).withColumnRenamed("node", "node_")
+    roots = components(stage(near_copies(made, similarity), "stars")).withColumnRenamed("node", "node_")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_")
     least = stage(made.groupBy("node").agg(F.min(order).alias("o")), "least")
     stay = (least.join(roots, F.col("node") == F.col("node_"), "left").groupBy(F.coalesce("root", "node").alias("root"))
