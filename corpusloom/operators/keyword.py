@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom import fixed_values as fv
 from corpusloom.functions import korean
 from corpusloom.functions.text import let, normalize, occurrences
+from corpusloom.operators import keyword_blocks
 from corpusloom.operators.matching import MAX_SHIPPED_TERMS, with_matches
 from corpusloom.operators.ranking import best_per_key, score_key, top_k
 from corpusloom.storage import stage
@@ -91,6 +92,7 @@ def _queries(terms: DataFrame, months: DataFrame | None) -> DataFrame:
 class Prepared:
     """What the keyword steps share: chunk texts, (chunk, term) hits, terms, query facts and gated pairs."""
 
+    scanned: DataFrame
     texts: DataFrame
     hits: DataFrame
     terms: DataFrame
@@ -123,7 +125,7 @@ def prepare(chunks: DataFrame, terms: DataFrame, months: DataFrame | None, now_y
     scanned = stage(scan_chunks(texts, terms, max_shipped), "scanned_chunks")
     hits, facts = term_hits(scanned), scanned.drop("facts")
     queries = _queries(terms, months)
-    return Prepared(facts, hits, terms, queries, stage(_gated_pairs(facts, hits, terms, queries), "gated_pairs"))
+    return Prepared(scanned, facts, hits, terms, queries, stage(_gated_pairs(facts, hits, terms, queries), "gated_pairs"))
 
 
 def candidate_stats(p: Prepared) -> DataFrame:
@@ -156,23 +158,33 @@ def _pair_sums(rows: DataFrame, score: Column, exact_head: Column) -> DataFrame:
         F.sum((F.col("tf_title") > 0).cast("int")).alias("in_title"), F.max(exact_head).alias("exact_head"))
 
 
-def field_scores(p: Prepared) -> DataFrame:
-    """(query, chunk) with the three-field score and the share of terms found in the title."""
-    # open queries share their statistics, so a (chunk, term) is scored once for all of them
-    whole = p.texts.agg(F.count("*").alias("n"), *[F.avg(c).alias("avg_" + c) for c in LENGTHS]).withColumn("_k", F.lit(0))
-    scored = p.hits.join(_document_counts(p.hits, ["term"]), "term").withColumn("_k", F.lit(0)).join(whole, "_k").select(
+def _whole(p: Prepared) -> DataFrame:
+    """One row: count and mean field lengths of the whole table, which open queries share."""
+    return p.texts.agg(F.count("*").alias("n"), *[F.avg(c).alias("avg_" + c) for c in LENGTHS]).withColumn("_k", F.lit(0))
+
+
+def _open_terms(p: Prepared) -> DataFrame:
+    return p.terms.join(p.queries.filter(F.col("gate") == "open").select("query_id"), "query_id").select("query_id", "term")
+
+
+def _open_sums(p: Prepared) -> DataFrame:
+    # a (chunk, term) is scored once for all open queries
+    scored = p.hits.join(_document_counts(p.hits, ["term"]), "term").withColumn("_k", F.lit(0)).join(_whole(p), "_k").select(
         "chunk_id", "page_id", "term", "tf_title", _term_score().alias("score"))
-    asking = p.terms.join(p.queries.filter(F.col("gate") == "open").select("query_id"), "query_id").select("query_id", "term")
-    open_ = _pair_sums(scored.join(asking, "term"), F.col("score"), F.lit(False))
+    return _pair_sums(scored.join(_open_terms(p), "term"), F.col("score"), F.lit(False))
+
 
+def _gated_sums(p: Prepared) -> DataFrame:
     rows = p.gated.join(p.hits, "chunk_id").join(p.terms, ["query_id", "term"])
     counted = rows.join(_document_counts(rows, ["query_id", "term"]), ["query_id", "term"]).join(
         candidate_stats(p).select("query_id", "n", *[f"avg_{c}" for c in LENGTHS]), "query_id")
     sums = _pair_sums(counted, _term_score(), F.col("is_exact") & F.col("in_head")).drop("page_id")
     # a month match counts without any term
-    located = p.gated.join(p.texts.select("chunk_id", "page_id", "months"), "chunk_id").join(sums, ["query_id", "chunk_id"], "left")
-    every = open_.withColumn("months", F.array().cast("array<int>")).unionByName(located).join(
-        p.queries.select("query_id", "asked", "n_terms"), "query_id")
+    return p.gated.join(p.texts.select("chunk_id", "page_id", "months"), "chunk_id").join(sums, ["query_id", "chunk_id"], "left")
+
+
+def _scores(p: Prepared, sums: DataFrame) -> DataFrame:
+    every = sums.join(p.queries.select("query_id", "asked", "n_terms"), "query_id")
     month_match = F.coalesce(F.arrays_overlap("months", "asked"), F.lit(False))
     title = F.when(F.col("exact_head"), F.lit(1.0)).otherwise(
         F.coalesce(F.try_divide(F.col("in_title"), F.col("n_terms")), F.lit(0.0)))
@@ -182,6 +194,25 @@ def field_scores(p: Prepared) -> DataFrame:
     ).filter((F.col("bm25_score") > 0) | (F.col("title_match_score") > 0))
 
 
+def field_scores(p: Prepared) -> DataFrame:
+    """(query, chunk) with the three-field score and the share of terms found in the title: a row for every pair."""
+    open_ = _open_sums(p).withColumn("months", F.array().cast("array<int>"))
+    return _scores(p, open_.unionByName(_gated_sums(p)))
+
+
+def page_scores(p: Prepared, k: int) -> DataFrame:
+    """The rows of ``field_scores`` that can be among the first k pages of their query.
+
+    Open queries match chunks all over the table, so their pairs are never made: blocks of queries meet blocks of chunks,
+    and each unit of work returns k rows per query (see ``keyword_blocks``).
+    """
+    counts = p.terms.join(_document_counts(p.hits, ["term"]), "term", "left")
+    asked = _open_terms(p).join(counts.select("term", *[f"df_{f}" for f in FIELDS]).distinct(), "term", "left").groupBy("query_id").agg(
+        F.collect_list(F.struct("term", *[F.coalesce(f"df_{f}", F.lit(0)).alias(f"df_{f}") for f in FIELDS])).alias("terms"))
+    open_ = keyword_blocks.best_pages(p.scanned, asked.withColumn("_k", F.lit(0)).join(_whole(p), "_k").drop("_k"), k, list(FIELDS.items()))
+    return _scores(p, _gated_sums(p)).unionByName(open_.withColumn("month_match", F.lit(False)))
+
+
 def rank_pages(scores: DataFrame, limits: DataFrame | None = None, k: int = fv.KEYWORD_TOP_K,
                max_k: int | None = None) -> DataFrame:
     """Best chunk per page, then the first k pages per query; ``limits`` (query_id, k) overrides k."""
@@ -200,4 +231,5 @@ def search(chunks: DataFrame, terms: DataFrame, now_year: int, months: DataFrame
            limits: DataFrame | None = None, k: int = fv.KEYWORD_TOP_K, max_k: int | None = None,
            max_shipped: int = MAX_SHIPPED_TERMS) -> DataFrame:
     """Ranked chunks per query from the keyword rules."""
-    return rank_pages(field_scores(prepare(chunks, terms, months, now_year, max_shipped)), limits, k, max_k)
+    prepared = prepare(chunks, terms, months, now_year, max_shipped)
+    return rank_pages(page_scores(prepared, max(max_k or k, k)), limits, k, max_k)

@@ -33,6 +33,28 @@ def derive(answers: DataFrame) -> DataFrame:
     }).withColumnsRenamed(renamed)
 
 
+# profile columns that a log record keeps
+PROFILE_COLUMNS = ["vector_top_k", "keyword_top_k", "jira_top_k", "expand_chunks", "max_context_chars"]
+
+
+def with_context(records: DataFrame, questions: DataFrame, mentions: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Records with what retrieval decided; a record without a retrieval has none of it.
+
+    ``records`` and ``questions`` have query_id; ``questions`` brings route, route_reason and the profile columns,
+    ``mentions`` (query_id, mention_no, source_type, space) the resolved scopes, ``chosen`` (query_id, long_document_mode,
+    chunk_index) the chunks of a long document.
+    """
+    scopes = mentions.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("mention_no", "source_type", "space"))).alias("_m")).select(
+        "query_id", F.transform("_m", lambda m: F.struct(m["source_type"].alias("source_type"), m["space"].alias("space"))).alias("_mentions"))
+    long_ = chosen.filter(F.col("long_document_mode") != "none").groupBy("query_id").agg(
+        F.max("long_document_mode").alias("long_document_mode"), F.count("*").cast("int").alias("document_chunk_count"),
+        F.array_sort(F.collect_set("chunk_index")).alias("selected_chunk_indexes"))
+    none = F.array().cast("array<struct<source_type: string, space: string>>")
+    decided = questions.select("query_id", "route", "route_reason", *PROFILE_COLUMNS).join(scopes, "query_id", "left").join(long_, "query_id", "left")
+    decided = decided.withColumn("mentions", F.coalesce("_mentions", none)).drop("_mentions")
+    return records.join(decided, "query_id", "left")
+
+
 def route_statistics(records: DataFrame, keys: list | None = None) -> DataFrame:
     """Count, mean seconds and mean prompt chunks per route; absent numbers count as 0."""
     route = F.coalesce("route", F.lit("unknown")).alias("route")

@@ -232,6 +232,27 @@ def link_labels(spark, sf):
     return prepare.page_text(pages, prepare.link_labels(pages, dims, projects)).select("id", "text")
 
 
+@query("i9_rich_rewrite", s.build("""
+SELECT CAST(o_orderkey AS VARCHAR) AS id, '# T' || chr(10) || chr(10) || chr(10) || chr(10) || 'See  [Related Jira issue: ' || CASE WHEN o_orderkey % 2 = 0 THEN
+  c_mktsegment || '-' || o_orderkey || ': ' || i.summary || ' (' || i.status_name || ')' ELSE 'the order' END ||
+  ']  of  [Related Jira project: ' || i.project_name || ' (' || c_mktsegment || ')] .' || chr(10) || chr(10) || concat_ws(chr(10), '[Table start]', 'Rows: 1',
+  'Columns: no, flag', '', '| no | flag |', '| --- | --- |', '| 1 | a\\|b ' || o_orderkey || ' |', '[Table end]') AS text
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN issues_ i ON i.key = c_mktsegment || '-' || o_orderkey""", "issues_"))
+def rich_rewrite(spark, sf):
+    """Macros, links and tables of one page together; the embedded issue table goes."""
+    known = d.issues(spark, sf)
+    rows = d.table(spark, sf, "orders").join(d.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    tables = F.concat(F.lit("<table><tr><th>no</th><th>flag</th></tr><tr><td>1</td><td>a|b "), F.col("o_orderkey").cast("string"),
+                      F.lit("</td></tr></table><table><tr><th>Key</th><th>Summary</th><th>Status</th></tr><tr><td>"), F.col("c_mktsegment"),
+                      F.lit("-1</td><td>s</td><td>Open</td></tr></table>"))
+    pages = rows.selectExpr(*[f"{e} AS {n}" for n, e in LINK_PAGE.items()], "o_orderkey", "c_mktsegment").withColumn("body", F.concat("body", tables))
+    pages = pages.select("id", "body", F.lit("T").alias("title"), F.lit(None).cast("string").alias("adf"))
+    none = F.array().cast("array<string>")
+    dims = known.select("key", "summary", F.col("status_name").alias("status"), none.alias("custom"))
+    projects = known.select(F.col("project").alias("key"), F.col("project_name").alias("name")).distinct()
+    return prepare.page_text(pages, prepare.link_labels(pages, dims, projects)).select("id", "text")
+
+
 def _order_cells(spark, sf):
     line = F.array(F.col("l_linenumber").cast("string"), "l_returnflag", F.concat(F.lit("p|"), F.col("l_partkey").cast("string")))
     return d.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusloom.functions import followup
-from corpusloom.operators import evaluation, history, query_log
+from corpusloom.operators import context, evaluation, history, query_log
 from corpusloom.operators.ranking import numbered
 from corpusloom.storage import work_dir
 from corpusloom.streaming import log_statistics
@@ -193,6 +193,20 @@ def budget_sweep(spark, sf):
     return evaluation.prompt_statistics(packed(spark, sf), ["query_id", "budget"])
 
 
+@query("e17_chunk_sweep", s.build("""
+, c AS (SELECT query_id, chunk_count, rank, page_id, page_content FROM qdocs_, (SELECT unnest([5, 10, 20, 40]) AS chunk_count) WHERE rank <= chunk_count),
+p AS (SELECT *, substring(page_content, 1, CAST(50000 - used AS INT)) AS packed FROM (
+  SELECT *, coalesce(sum(length(page_content)) OVER (PARTITION BY query_id, chunk_count ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM c)
+  WHERE used < 50000)
+SELECT query_id, chunk_count, count(*) AS prompt_chunk_count, sum(length(packed)) + 7 * (count(*) - 1) AS prompt_context_chars,
+       count(DISTINCT page_id) AS prompt_unique_pages FROM p GROUP BY 1, 2""", "qdocs_"))
+def chunk_sweep(spark, sf):
+    """Prompts of the first 5, 10, 20 and 40 chunks under a budget that they seldom reach."""
+    from suite.retrieval_queries import _query_docs
+    docs = _query_docs(spark, sf).select("query_id", "rank", "page_id", "title", "url", "page_content")
+    return evaluation.prompt_statistics(context.pack_first(docs, [5, 10, 20, 40], 50_000), ["query_id", "chunk_count"]).drop("prompt_context_est_tokens")
+
+
 RESULT = {  # BOTH
     "axis_value": "CAST(user_id % 5 AS INT) * 4000", "fact_score": "value / 100", "source_score": "CAST(event_id % 3 AS DOUBLE) / 2",
     "passed": "value > 20", "latency_seconds": "value * 2", "prompt_chunk_count": "CASE WHEN event_type = 'error' THEN NULL ELSE CAST(event_id % 9 AS INT) END",
@@ -242,12 +256,23 @@ def private_records(spark, sf):
 
 
 @query("l4_log_records", s.build("""
-SELECT event_id, length(question) AS question_chars, prompt_chunks, coalesce(finish_reason, 'end') AS finish_reason, round(total_seconds, 3) AS total_seconds FROM log_""", "log_"))
+SELECT event_id, length(question) AS question_chars, prompt_chunks, coalesce(finish_reason, 'end') AS finish_reason, round(total_seconds, 3) AS total_seconds,
+       CASE WHEN event_id % 3 > 0 THEN 'long_doc_summary' END AS route, CASE WHEN event_id % 3 > 0 THEN 'why' END AS route_reason, CASE WHEN event_id % 3 > 0 THEN 7 END AS vector_top_k,
+       CASE WHEN event_id % 3 > 0 THEN 9000 END AS max_context_chars, CASE WHEN event_id % 3 = 1 THEN 2 WHEN event_id % 3 = 2 THEN 0 END AS mentions,
+       CASE WHEN event_id % 3 = 1 THEN 'summary' END AS long_document_mode, CASE WHEN event_id % 3 = 1 THEN 3 END AS selected FROM log_""", "log_"))
 def derived_records(spark, sf):
     rows = d.log_records(spark, sf).withColumns({
         "retrieved_docs": F.col("prompt_chunks"), "context_chars": F.lit(0), "generation_seconds": F.col("total_seconds") / 3,
         "retrieval_seconds": F.lit(0.0), "error": F.lit("")})
-    return query_log.derive(rows).select("event_id", "question_chars", "prompt_chunks", "finish_reason", "total_seconds")
+    found = rows.filter("event_id % 3 > 0").select(F.col("event_id").alias("query_id"), F.lit("long_doc_summary").alias("route"), F.lit("why").alias("route_reason"), *[
+        F.lit({"vector_top_k": 7, "max_context_chars": 9000}.get(c, 1)).alias(c) for c in query_log.PROFILE_COLUMNS])
+    once = rows.filter("event_id % 3 = 1").select(F.col("event_id").alias("query_id"))
+    mentions = once.select("query_id", F.explode(F.array(F.struct(F.lit(1).alias("mention_no"), F.lit("jira").alias("source_type"), F.lit("A").alias("space")),
+                                                         F.struct(F.lit(2).alias("mention_no"), F.lit("confluence").alias("source_type"), F.lit("B").alias("space")))).alias("m")).select("query_id", "m.*")
+    chosen = once.select("query_id", F.lit("summary").alias("long_document_mode"), F.explode(F.array(F.lit(4), F.lit(1), F.lit(2))).alias("chunk_index"))
+    records = query_log.with_context(query_log.derive(rows).withColumn("query_id", F.col("event_id")).drop("route", "route_reason"), found, mentions, chosen)
+    return records.select("event_id", "question_chars", "prompt_chunks", "finish_reason", "total_seconds", "route", "route_reason", "vector_top_k", "max_context_chars",
+                          F.size("mentions").alias("mentions"), "long_document_mode", F.size("selected_chunk_indexes").alias("selected"))
 
 
 @query("l5_daily_routes", s.build(f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {_ROUTES} GROUP BY 1, 2", "log_"))
