@@ -120,8 +120,11 @@ def _gated_pairs(texts, hits, terms, queries) -> DataFrame:
 
 def prepare(chunks: DataFrame, terms: DataFrame, months: DataFrame | None, now_year: int,
             max_shipped: int = MAX_SHIPPED_TERMS) -> Prepared:
-    """Scan the chunks once for all terms; every later step works on the hits."""
-    texts = searchable_chunks(chunks, now_year)
+    """Scan the chunks once for all terms; every later step works on the hits.
+
+    ``chunks`` may be the result of ``searchable_chunks``, which ingest can write once for all batches.
+    """
+    texts = chunks if "gate" in chunks.columns else searchable_chunks(chunks, now_year)
     scanned = stage(scan_chunks(texts, terms, max_shipped), "scanned_chunks")
     hits, facts = term_hits(scanned), scanned.drop("facts")
     queries = _queries(terms, months)

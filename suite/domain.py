@@ -82,6 +82,12 @@ def benchmark_queries(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
 
 
+def searchable(spark, sf):
+    """The normalised fields of the chunk table, written as ingest would."""
+    from corpusloom.operators.keyword import searchable_chunks
+    return stored(spark, sf, "searchable", lambda *a: searchable_chunks(chunks(*a), NOW_YEAR))
+
+
 def benchmark_terms(spark, sf):
     """Every alphanumeric word of a query; long words of even items are exact terms."""
     words = benchmark_queries(spark, sf).select("query_id", F.explode(general_terms(F.col("query"))).alias("term"))

@@ -92,7 +92,7 @@ keyword_ctes("km_", "dated_", "mterms_", "months_")
 
 
 def _keyword_parts(spark, sf):
-    return keyword.prepare(d.chunks(spark, sf), d.benchmark_terms(spark, sf), None, d.NOW_YEAR)
+    return keyword.prepare(d.searchable(spark, sf), d.benchmark_terms(spark, sf), None, d.NOW_YEAR)
 
 
 def _month_parts(spark, sf):
@@ -140,7 +140,7 @@ def month_boost(spark, sf):
 @query("r5_top_pages", s.build(
     "SELECT query_id, rank, chunk_id, page_id, round(total, 5) AS total FROM kw_top WHERE rank <= 3", "kw_top"))
 def top_pages(spark, sf):
-    found = keyword.search(d.chunks(spark, sf), d.benchmark_terms(spark, sf), d.NOW_YEAR)
+    found = keyword.search(d.searchable(spark, sf), d.benchmark_terms(spark, sf), d.NOW_YEAR)
     return found.select("query_id", "rank", "chunk_id", "page_id", F.round("total", 5).alias("total"))
 
 
@@ -675,7 +675,7 @@ def source_list(spark, sf):
 def retrieved(spark, sf):
     """Keyword and vector lists of the benchmark queries, fused."""
     terms, chunks = d.benchmark_terms(spark, sf), d.chunks(spark, sf)
-    by_keyword = keyword.search(chunks, terms, d.NOW_YEAR).select(
+    by_keyword = keyword.search(d.searchable(spark, sf), terms, d.NOW_YEAR).select(
         "query_id", F.lit("keyword").alias("list"), "rank", "chunk_id", "bm25_score", "title_match_score")
     vectors = d.benchmark_vectors(spark, sf).withColumn("query_id", F.split("query_id", ":")[0])
     near = vector.nearest(d.chunk_embeddings(spark, sf), vectors, fv.VECTOR_TOP_K)
