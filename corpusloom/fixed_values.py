@@ -150,7 +150,6 @@ ANCHOR_WEEK = [
 # --- reuse of earlier sources ------------------------------------------------------------
 REFERENCE_MARKERS = ["그거", "그것", "위내용", "방금", "아까", "이내용", "해당내용", "앞서", "이전"]
 EXPANSION_MARKERS = ["다른", "나머지", "그외", "추가로", "또"]
-FORMATTING_MARKERS = ["표로", "다시", "자세히", "간단히", "요약", "정리"]
 STANDALONE_PERIOD = r"[0-9]{2,4}\s*년|[0-9]{1,2}\s*월|[0-9]{1,2}\s*주차|[0-9]{2}-[0-9]{2}"
 STANDALONE_DOMAIN = ["주간보고", "회의록", "프로젝트", "이슈", "문서", "점검", "서버", "목록", "정보"]
 STANDALONE_NAME = r"(?<![가-힣])[가-힣]{2,4}(?:님|의|이야|은|는|팀장|팀원)?"

@@ -9,7 +9,7 @@ from corpusloom.functions import korean
 from corpusloom.functions.text import let, normalize, occurrences
 from corpusloom.operators import keyword_blocks
 from corpusloom.operators.matching import MAX_SHIPPED_TERMS, with_matches
-from corpusloom.operators.ranking import best_per_key, score_key, top_k
+from corpusloom.operators.ranking import best_per_key, positive_limit, score_key, top_k
 from corpusloom.storage import stage
 
 FIELDS = {"title": 3.0, "keyword": 2.0, "content": 1.0}
@@ -226,7 +226,7 @@ def rank_pages(scores: DataFrame, limits: DataFrame | None = None, k: int = fv.K
     if limits is None:
         return top_k(best, ["query_id"], order, k).drop("page_key")
     joined = best.join(limits.select("query_id", F.col("k").alias("_k")), "query_id", "left")
-    cut = F.greatest(F.lit(1), F.coalesce("_k", F.lit(k)))
+    cut = positive_limit(F.col("_k"), k)
     return top_k(joined, ["query_id"], order, max(max_k or k, k), cut).drop("page_key", "_k")
 
 

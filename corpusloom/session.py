@@ -25,6 +25,7 @@ def local(cores: int = 8, memory: str = "8g") -> SparkSession:
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)  # callers outside the package's folder need it on the workers as well
     return session
 
 

@@ -4,6 +4,8 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpusloom import fixed_values as fv
+
 
 def log_day(timestamp: Column) -> Column:
     """The local date written in the record's own offset."""
@@ -33,13 +35,13 @@ def day_folders(spark: SparkSession, directory: str) -> list[str]:
     return sorted(n.removeprefix("log_date=") for n in names if n.startswith("log_date="))
 
 
-def expired_days(spark: SparkSession, directory: str, today: str, days: int) -> list[str]:
+def expired_days(spark: SparkSession, directory: str, today: str, days: int = fv.LOG_RETENTION_DAYS) -> list[str]:
     """Days older than the last ``days`` days; 0 or less keeps all."""
     first = (date.fromisoformat(today) - timedelta(days=days)).isoformat()
     return [d for d in day_folders(spark, directory) if d < first] if days > 0 else []
 
 
-def drop_expired(spark: SparkSession, directory: str, today: str, days: int) -> list[str]:
+def drop_expired(spark: SparkSession, directory: str, today: str, days: int = fv.LOG_RETENTION_DAYS) -> list[str]:
     """Remove the folders of expired days; returns the removed days."""
     gone = expired_days(spark, directory, today, days)
     for day in gone:

@@ -51,3 +51,19 @@ def test_late_days_are_counted(spark, tmp_path):
         log_statistics.run_once(log_statistics.daily_routes(spark.readStream.schema(schema).parquet(folder)), table, state)
     found = {(str(r.day), r.records, r.avg_prompt_chunks) for r in spark.read.parquet(table).collect()}
     assert found == {("2026-05-01", 2, 1.0), ("2026-05-05", 2, 5.0), ("2026-05-06", 1, 6.0)}
+
+
+def test_rows_without_a_chunk_id_stay_apart(spark):
+    from corpusloom.operators import fusion
+    rows = [("0", "keyword", 1, "", "p", i, "u", "t", 1.0, 0.5) for i in range(3)] + [("0", "vector", 1, "", "p", 0, "u", "t", None, None), ("0", "vector", 2, "c", "p", 1, "u", "t", None, None)]
+    lists = spark.createDataFrame(rows, "query_id string, list string, rank int, chunk_id string, page_id string, chunk_index int, url string, title string, bm25_score double, title_match_score double")
+    assert fusion.merged(lists, ["query_id"]).count() == 4
+    terms = spark.createDataFrame([("0", "t")], "query_id string, term string")
+    assert fusion.fuse(lists, terms).count() == 4
+
+
+def test_limits_above_the_built_in_ones_hold(spark):
+    from corpusloom.plans.retrieve import bounds
+    from corpusloom.functions import routing
+    profiles = routing.profiles(spark).withColumn("keyword_top_k", F.lit(55))
+    assert bounds(profiles)["keyword_top_k"] == 55
