@@ -457,11 +457,10 @@ def month_narrowing(spark, sf):
 
 # --- R23-R25: issue summaries ---------------------------------------------------------------------------------------------------
 
-def _capped_issue_chunks(spark, sf):
-    return d.stored(spark, sf, "issue_chunks", lambda *a: issue_chunk_table(*a, newest=fv.MAX_ISSUES))
+def _issue_chunk_rows(spark, sf):
+    return d.stored(spark, sf, "issue_chunks", issue_chunk_table)
 
 
-s.cte("capped_", "SELECT c.* FROM issue_chunks_ c SEMI JOIN newest_ n ON n.key = c.issue_key", "issue_chunks_", "newest_")
 
 
 def _first(c, pattern):
@@ -475,7 +474,7 @@ _values = ("list_concat([due_date, updated, created, title, regexp_extract(page_
 s.cte("facts_", f"""
   SELECT chunk_id, space, space_name, issue_key AS issue, issue_status_category AS category, contains(title || ' ' || page_content, '점검') AS has_check,
     list_distinct(list_filter(list_concat(list_transform({_values}, lambda v: {_first('v', _one)}), list_transform({_values}, lambda v: {_first('v', _two)})),
-      lambda x: x IS NOT NULL)) AS months FROM capped_""", "capped_")
+      lambda x: x IS NOT NULL)) AS months FROM issue_chunks_""", "issue_chunks_")
 s.cte("asked_", f"""
   SELECT query_id, space AS scope, query, {s.months_wide('query')} AS asked, {SUMMARY_FLAGS} AS cats, contains(n, '점검') AS needs_check,
     {any_sql('n', fv.MAINTENANCE_QUERY_TERMS)} AS maint, {any_sql('n', fv.TRACKER_QUERY_TERMS)} AS tracker, n
@@ -492,7 +491,7 @@ def _scopes(spark, sf):
 
 @query("r23_issue_match", s.build("SELECT query_id, chunk_id, issue, category FROM matching_", "matching_"))
 def issue_match(spark, sf):
-    return issue_summary.matching_issue_chunks(_scopes(spark, sf), d.issue_questions(spark, sf), _capped_issue_chunks(spark, sf)).select(
+    return issue_summary.matching_issue_chunks(_scopes(spark, sf), d.issue_questions(spark, sf), _issue_chunk_rows(spark, sf)).select(
         "query_id", "chunk_id", "issue", "category")
 
 
@@ -506,13 +505,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY issues DESC, s
 SELECT query_id, rank, space, space_name, issues * (1 + CASE WHEN explicit THEN 100 ELSE 0 END + CASE WHEN maint THEN 5 ELSE 0 END) AS score FROM r WHERE rank <= 3""",
                                 "asked_", "facts_"))
 def scope_inference(spark, sf):
-    return scope.infer_scopes(d.issue_questions(spark, sf), _capped_issue_chunks(spark, sf))
+    return scope.infer_scopes(d.issue_questions(spark, sf), _issue_chunk_rows(spark, sf))
 
 
 s.cte("issue_rows_", """
   SELECT m.query_id, m.space, m.space_name, m.issue, c.title, c.issue_status AS status, m.category, c.assignee, coalesce(c.due_date, c.date_fields[1].text, c.updated) AS date, c.updated
-  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, space, issue ORDER BY chunk_id) AS n FROM matching_) m JOIN capped_ c USING (chunk_id) WHERE n = 1""",
-      "matching_", "capped_")
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, space, issue ORDER BY chunk_id) AS n FROM matching_) m JOIN issue_chunks_ c USING (chunk_id) WHERE n = 1""",
+      "matching_", "issue_chunks_")
 
 
 @query("r25_issue_tables", s.build("""
@@ -524,7 +523,7 @@ SELECT r.query_id, r.space, space_name || ' Jira 조건 검색 요약' AS title,
 FROM issue_rows_ r JOIN issue_questions_ q ON q.query_id = r.query_id GROUP BY r.query_id, r.space, space_name, query""", "issue_rows_", "issue_questions_"))
 def issue_tables(spark, sf):
     questions = d.issue_questions(spark, sf)
-    rows = issue_summary.issue_rows(_scopes(spark, sf), questions, _capped_issue_chunks(spark, sf))
+    rows = issue_summary.issue_rows(_scopes(spark, sf), questions, _issue_chunk_rows(spark, sf))
     docs = issue_summary.summary_documents(rows, questions)
     return docs.select("query_id", "space", "title", "issue_count", F.md5("page_content").alias("content"))
 
@@ -752,7 +751,7 @@ def assembled_context(spark, sf):
 def full_plan(spark, sf):
     """Every step of the plan over dated pages and issues, for the month and issue questions."""
     pages = d.dated_pages(spark, sf)
-    chunks = pages.unionByName(_capped_issue_chunks(spark, sf), allowMissingColumns=True)
+    chunks = pages.unionByName(_issue_chunk_rows(spark, sf), allowMissingColumns=True)
     asked = d.month_questions(spark, sf).unionByName(d.issue_questions(spark, sf).select("query_id", "query"))
     queries = asked.select("query_id", F.col("query").alias("question"), "query", F.lit(False).alias("scope_changed"))
     sources = pages.select(
