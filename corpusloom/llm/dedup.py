@@ -34,6 +34,8 @@ SLACK = 0.2
 _MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles hashed at once; rows of a task searched together, beside whole shards.
 _PART, ROWS = 1 << 14, 1 << 12
+#: Shingle sets held at once.
+SETS = 512
 
 
 def profile(text: str | None, size: int) -> tuple[int, list[int], bytes, bytes]:
@@ -88,6 +90,8 @@ def _stars(shard: np.ndarray, rows: dict, in_tree: np.ndarray, searches: np.ndar
 
     def set_of(i: int) -> frozenset:
         if i not in sets:
+            if len(sets) >= SETS:
+                sets.clear()
             sets[i] = frozenset(np.frombuffer(shingles[i], "<u4").tolist())
         return sets[i]
 
