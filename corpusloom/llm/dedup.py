@@ -3,8 +3,9 @@
 Two texts are near-copies if the sets of their shingles of ``size`` words have a Jaccard similarity of ``similarity`` or
 more. Radius searches over 64 bits alone would have to be wide for that, so shards are made by min-hashes instead of bits: a text is
 in one shard for each of ``KEYS`` hash functions, named by the least hash of its shingles, and texts as similar as that
-share one with a probability of 1 - 0.2 ** KEYS at least. A shard's fingerprints form a BK-tree, searched within
-``RADIUS`` bits; what is found is compared by 64 min-hashes and then by the shingles themselves: all of them up to
+share one with a probability of 1 - 0.2 ** KEYS at least. A shard's fingerprints form a BK-tree. They are made of each
+text's different shingles, as the similarity is, so that the distance of two texts follows from their similarity alone,
+however often passages repeat; the search goes as far as ``radius_of`` says for a miss rate of ``MISS``. What is found is compared by 64 min-hashes and then by the shingles themselves: all of them up to
 ``KEPT``, beyond that the ``KEPT`` least hashes of both, a sample of the whole texts. Large shards are cut into trees and
 parts as in ``simhash``. A pair is compared only while its texts are not yet in one group, and a task returns stars.
 
@@ -16,6 +17,8 @@ Of each group the row with the smallest id stays, null ids last, ties by that ha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +31,9 @@ from corpusloom.llm.components import components
 from corpusloom.llm.simhash import BITS, LARGE, SEARCHES, SEED, Forest, _merge
 from corpusloom.storage import stage
 
-KEYS, HASHES, KEPT, RADIUS = 6, 64, 1024, 18
-#: Share of equal min-hashes below which shingles are not looked at, under the similarity asked for by so much.
-SLACK = 0.2
+KEYS, HASHES, KEPT = 6, 64, 1024
+#: Share of pairs, as similar as asked for, that the search by fingerprints may miss, and that the comparison of min-hashes may.
+MISS = 1e-5
 _MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles hashed at once; rows of a task searched together, beside whole shards.
 _PART, ROWS = 1 << 14, 1 << 12
@@ -38,6 +41,41 @@ _PART, ROWS = 1 << 14, 1 << 12
 SETS = 512
 
 
+def _tail(n: int, p: float, least: int) -> float:
+    """Probability of ``least`` or more of ``n``."""
+    return sum(comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(least, n + 1))
+
+
+def _bit_differs(both: int, a: int, b: int) -> float:
+    """Probability that a fingerprint bit differs between sets that share ``both`` shingles and have ``a`` and ``b`` of their own."""
+    odds = lambda n: np.array([comb(n, k) for k in range(n + 1)]) / 2.0 ** n
+    common = np.arange(both + 1)[:, None]
+    set_a = (2 * (common + np.arange(a + 1)) > both + a) @ odds(a)
+    set_b = (2 * (common + np.arange(b + 1)) > both + b) @ odds(b)
+    return float(odds(both) @ (set_a + set_b - 2 * set_a * set_b))
+
+
+@cache
+def radius_of(similarity: float) -> int:
+    """Bits within which the fingerprints of all but ``MISS`` of the pairs of this similarity lie, whatever their sizes.
+
+    Bits are independent of each other, so a distance is binomial. Small sets are counted out; for large ones a bit is
+    the sign of two normal sums whose correlation is least if both sets have the same size.
+    """
+    worst = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+    for union in range(1, 41):
+        for both in range(int(np.ceil(similarity * union - 1e-9)), union + 1):
+            for a in range((union - both) // 2 + 1):
+                worst = max(worst, _bit_differs(both, a, union - both - a))
+    return next(r for r in range(BITS + 1) if _tail(BITS, worst, r + 1) <= MISS)
+
+
+@cache
+def least_equal(similarity: float) -> float:
+    """Share of equal min-hashes that all but ``MISS`` of the pairs of this similarity have."""
+    return next(k for k in range(HASHES, -1, -1) if 1 - _tail(HASHES, similarity, k) <= MISS) / HASHES
+
+
 def profile(text: str | None, size: int) -> tuple[int, list[int], bytes, bytes]:
     """(fingerprint, shard keys, 16 bits of each min-hash, least shingle hashes) of a text."""
     words = (text or "").encode("utf-8").lower().split()
@@ -49,13 +87,15 @@ def profile(text: str | None, size: int) -> tuple[int, list[int], bytes, bytes]:
     stops = ends[size - 1:] if len(words) >= size else ends[-1:]
     of = xxhash.xxh64_intdigest
     hashes = np.array([of(joined[s:e], SEED) for s, e in zip(starts.tolist(), stops.tolist(), strict=True)], "<u8")
+    hashes = np.unique(hashes)  # repeats count once, as in the similarity
+    n = len(hashes)
     set_bits, least = np.zeros(BITS, np.int64), np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, n, _PART):
         some = hashes[at:at + _PART]
         set_bits += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         least = np.minimum(least, (some[:, None] * _MIX[0] + _MIX[1]).min(0))
     print_ = int(np.packbits(2 * set_bits > n, bitorder="little").view("<i8")[0])
-    kept = np.unique(hashes)[:KEPT] if n <= _PART else np.unique(np.concatenate([np.unique(hashes[at:at + _PART])[:KEPT] for at in range(0, n, _PART)]))[:KEPT]
+    kept = hashes[:KEPT]
     return print_, least[:KEYS].view("<i8").tolist(), (least >> np.uint64(32)).astype("<u2").tobytes(), (kept >> np.uint64(32)).astype("<u4").tobytes()
 
 
@@ -97,14 +137,14 @@ def _stars(shard: np.ndarray, rows: dict, in_tree: np.ndarray, searches: np.ndar
 
     for at in range(0, len(asked), SEARCHES):
         some = asked[at:at + SEARCHES]
-        query, node = forest.search(shard[some], rows["prints"][some], RADIUS)
+        query, node = forest.search(shard[some], rows["prints"][some], radius_of(similarity))
         a, b = some[query], trees[node]
         open_ = (a != b) & (label[a] != label[b])
         a, b = a[open_], b[open_]
         alike = np.empty(len(a), bool)
         for s in range(0, len(a), _PART):
             e = s + _PART
-            alike[s:e] = (signs[a[s:e]] == signs[b[s:e]]).mean(1) >= similarity - SLACK
+            alike[s:e] = (signs[a[s:e]] == signs[b[s:e]]).mean(1) >= least_equal(similarity)
         a, b = a[alike], b[alike]
         while a.size:
             _, first = np.unique(a, return_index=True)

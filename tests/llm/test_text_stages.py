@@ -186,6 +186,32 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, large):
     assert {r.doc_id for r in dedup.one_of_each(docs).collect()} == expected
 
 
+def test_near_copies_with_repeated_lines(spark):
+    """A text and the same with one line ten times are near-copies by their sets of shingles."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts, far = [], 0
+    for _ in range(20):
+        words = [word() for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words, *[w for w in [word() for _ in range(20)]] * 10])]
+        a, b = (simhash.fingerprint(t, 5) for t in texts[-2:])
+        far += ((a ^ b) & ((1 << 64) - 1)).bit_count() > 18
+        assert _similar(*texts[-2:]) > 0.9
+    assert far > 10  # beyond the reach of fingerprints that count repeats
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in dedup.one_of_each(docs).collect()) == list(range(0, 40, 2))
+
+
+def test_near_copies_radius_covers_the_similarity():
+    rng = np.random.default_rng(6)
+    for both, a, b in ((4, 0, 1), (12, 0, 3), (80, 10, 10), (800, 0, 200), (800, 100, 100)):
+        bits = lambda n: np.add.reduce(rng.integers(0, 2, (n, 400, 64)), 0) if n else np.zeros((400, 64), int)
+        shared, own_a, own_b = bits(both), bits(a), bits(b)
+        distance = ((2 * (shared + own_a) > both + a) != (2 * (shared + own_b) > both + b)).sum(1)
+        assert distance.max() <= dedup.radius_of(0.8)
+    assert dedup.radius_of(1.0) == 0 and dedup.least_equal(1.0) == 1 and 0.5 < dedup.least_equal(0.8) < 0.6
+
+
 def test_near_copies_odd_rows(edge_docs, no_docs):
     kept = dedup.one_of_each(edge_docs)
     assert kept.columns == edge_docs.columns
