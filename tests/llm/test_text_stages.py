@@ -202,6 +202,24 @@ def test_near_copies_with_repeated_lines(spark):
     assert sorted(r.doc_id for r in dedup.one_of_each(docs).collect()) == list(range(0, 40, 2))
 
 
+def test_near_copies_of_long_texts_are_exact(spark):
+    """Pairs of 5,000 words just above and just below the similarity."""
+    rng = random.Random(12)
+    texts, expected = [], []
+    for edits in [*range(105, 117)] * 2:
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(5000)]
+        other = list(words)
+        for i in rng.sample(range(2, 996), edits):
+            other[5 * i] = "changed" + str(i)
+        expected.append(len(texts))
+        texts += [" ".join(words), " ".join(other)]
+        if _similar(*texts[-2:]) < 0.8:
+            expected.append(len(texts) - 1)
+    assert 24 < len(expected) < 48
+    docs = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, node string").repartition(4)
+    assert sorted(r.doc_id for r in dedup.one_of_each(docs).collect()) == expected
+
+
 def test_near_copies_radius_covers_the_similarity():
     rng = np.random.default_rng(6)
     for both, a, b in ((4, 0, 1), (12, 0, 3), (80, 10, 10), (800, 0, 200), (800, 100, 100)):
