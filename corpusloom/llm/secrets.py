@@ -1,12 +1,12 @@
 """Secrets in texts: fixed patterns, and strings whose characters look random.
 
 A candidate is a run of 20 or more characters of tokens. Over its parts in each character class (hex digits, base64
-letters) a window of 20 characters slides; its Shannon entropy follows from counts that change by one character in and
+letters, small letters or capitals with digits) a window of 20 characters slides; its Shannon entropy follows from counts that change by one character in and
 one out. Windows at or above the class's threshold that mix the kinds of characters a random string would have are
-joined to spans. Strings that are known to be public (empty digests, alphabets, UUIDs, paths of words) are suppressed.
+joined to spans. Strings that are known to be public (empty digests, alphabets, UUIDs, paths of words, words with numbers) are suppressed.
 
-Offsets are code points, ends exclusive. A span found by entropy that touches one of a pattern is dropped, as the
-pattern's stays. Defined results: a null or empty text has no span. Repeated rows are scanned each; other columns are
+Offsets are code points, ends exclusive. Of a span found by entropy, what patterns cover is taken off, as the
+pattern's stays; the rest stays too. Defined results: a null or empty text has no span. Repeated rows are scanned each; other columns are
 ignored by ``scan`` and kept by ``redact``, which replaces spans and sets n_chars where that column has a value.
 """
 
@@ -38,6 +38,8 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 CLASSES = (
     (re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}"), 3.0, (str.isdigit, str.isalpha)),
     (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.7, (str.isdigit, str.islower, str.isupper)),
+    (re.compile(r"[a-z0-9]{20,}"), 3.3, (str.isdigit, str.islower)),
+    (re.compile(r"[A-Z0-9]{20,}"), 3.2, (str.isdigit, str.isupper)),
 )
 #: Public strings: digests of the empty string, alphabets and counts.
 PUBLIC = (
@@ -51,6 +53,9 @@ PUBLIC = (
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Words joined by dashes, underscores or slashes, a number here and there: names and paths.
 NAMES = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_/=+](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[-_/=+]*")
+#: Words of one case with short numbers between or after them, pronounceable: identifiers.
+WORDS = re.compile(r"(?!.*[bcdfghjklmnpqrstvwxz]{5})[a-z]{4,}(?:[0-9]{1,4}[a-z]{4,})*[0-9]{0,4}"
+                   r"|(?!.*[BCDFGHJKLMNPQRSTVWXZ]{5})[A-Z]{6,}(?:[0-9]{1,4}[A-Z]{6,})*[0-9]{0,4}")
 #: n log2 n for the counts of a window.
 _WEIGHT = [0.0] + [n * log2(n) for n in range(1, WINDOW + 1)]
 
@@ -59,7 +64,7 @@ Span = tuple[int, int, str]
 
 def public(candidate: str) -> bool:
     return (UUID.fullmatch(candidate) is not None or NAMES.fullmatch(candidate) is not None
-            or any(candidate.lower() == p or candidate in p for p in PUBLIC))
+            or WORDS.fullmatch(candidate) is not None or any(candidate.lower() == p or candidate in p for p in PUBLIC))
 
 
 def random_parts(run: str, bits: float, kinds: tuple) -> Iterator[tuple[int, int]]:
@@ -92,6 +97,19 @@ def random_parts(run: str, bits: float, kinds: tuple) -> Iterator[tuple[int, int
         yield start, end
 
 
+def uncovered(span: tuple[int, int], base: list[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of a span outside the base spans, which are in order."""
+    at, end = span
+    for s, e, _ in base:
+        if s >= end:
+            break
+        if s > at:
+            yield at, s
+        at = max(at, e)
+    if at < end:
+        yield at, end
+
+
 def spans(text: str | None) -> list[Span]:
     """(start, end, kind) of all findings, by start, then kind."""
     if not text:
@@ -117,7 +135,7 @@ def spans(text: str | None) -> list[Span]:
             joined[-1][1] = max(e, joined[-1][1])
         else:
             joined.append([s, e])
-    free = [(s, e, "entropy") for s, e in joined if not any(a < e and s < b for a, b, _ in base)]
+    free = [(s, e, "entropy") for span in joined for s, e in uncovered(span, base) if any(map(str.isalnum, text[s:e]))]
     return sorted(base + free, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

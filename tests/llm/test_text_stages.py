@@ -261,6 +261,31 @@ def test_secret_bases_and_entropy():
         assert [s for s in secrets.spans(harmless) if s[2] == "entropy"] == [], harmless
 
 
+def test_secret_beside_a_pattern():
+    """An access token behind a numeric id: the id is a hex match, the token is still found."""
+    rng, tokens = random.Random(4), []
+    for _ in range(100):
+        number = "".join(rng.choice("0123456789") for _ in range(19))
+        token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+        found = secrets.spans(f"id {number}-{token} end")
+        assert (3, 22, "hex") in found
+        covered = {i for s, e, _ in found for i in range(s, e)}
+        tokens.append(len(covered & set(range(23, 63))))
+        assert covered <= set(range(3, 63))
+        assert all(a[1] <= b[0] for a, b in itertools.pairwise(found))
+    assert min(tokens) > 0 and sum(tokens) >= 38 * len(tokens)  # a window at the end may lack a kind
+    assert list(secrets.uncovered((5, 30), [(0, 7, "hex"), (9, 12, "hex"), (10, 11, "hex"), (28, 40, "hex"), (50, 60, "hex")])) == [(7, 9), (12, 28)]
+
+
+def test_secret_keys_of_one_case():
+    rng = random.Random(5)
+    for letters in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        keys = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(500)]
+        assert sum(any(k == "entropy" for _, _, k in secrets.spans(f"key {key} end")) for key in keys) >= 495
+    for harmless in ("quarterlyreport2024customer17export", "CUSTOMERACCOUNTNUMBER2024", "internationalization2", "0123456789abcdefghijklmnopqrstuvwxyz", "9" * 30 + "a"):
+        assert [s for s in secrets.spans(harmless) if s[2] == "entropy"] == [], harmless
+
+
 def test_secret_windows_against_whole_counts():
     rng = random.Random(2)
     kinds = secrets.CLASSES[1][2]
