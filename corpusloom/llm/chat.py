@@ -6,8 +6,9 @@ conversation's system turn (its first turn, if its role is ``system``) stands in
 span are repeated as history, as many as fit a quarter of the budget. What is repeated is masked: each assistant text is a
 target in the one window where it is new.
 
-A conversation of any length is worked on in blocks of ``BLOCK`` turns by turn number; each gets the system turn and the
-turns before it that may be history, so no task holds a whole conversation.
+A conversation of any length is worked on in blocks of ``BLOCK`` turns by their place in the order of turn number, role and
+text, whatever the numbers are; each gets the system turn and the turns before it that may be history, so no task holds a
+whole conversation. Places are counted in sorted pieces of all turns; what a piece's first conversation had before is added.
 
 The template marks turns; control strings inside texts are escaped by a word joiner after their first character, and word
 joiners of the text are doubled, which can be undone exactly. Offsets are code points.
@@ -35,6 +36,8 @@ from corpusloom.storage import stage
 
 #: Tokens of a window, turns of history, turns of a block.
 BUDGET, HISTORY, BLOCK = 2048, 2, 256
+#: Characters of a text by which turns of equal number and role are spread over pieces.
+HEAD = 256
 ROLE_OPEN, ROLE_CLOSE, TURN_CLOSE = "<|turn|>", "<|says|>", "<|done|>\n"
 #: Strings that may not stand unescaped in a text: this template's and those of others in use.
 CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -116,9 +119,14 @@ def block_windows(system: tuple | None, history: list[tuple], turns: list[tuple]
 def _counted(vocab: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(ByteBpe, vocab)
+        conv, number = None, 0
         for batch in batches:
+            numbers = []
+            for c in batch.column(0).to_pylist():
+                conv, number = (c,), number + 1 if conv == (c,) else 0
+                numbers.append(number)
             sizes = [len(bpe.encode(f"{r}\n{t}")) + MARKS for r, t in zip(texts_of(batch, "role"), texts_of(batch, "text"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], [*batch.schema.names, "tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64())], [*batch.schema.names, "number", "tokens"])
 
     return run
 
@@ -126,60 +134,63 @@ def _counted(vocab: str):
 def windows(conversations: DataFrame, vocab: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """(conv_id, block, window, text, new_from, n_new, n_tokens, over_budget, loss) of every window, in this order."""
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    # null turns go to a block before all others
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60)))).mapInArrow(
-        _counted(vocab), "conv_id long, turn long, role string, text string, block long, tokens long")
-    rows = stage(rows, "turns")
-    said = F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", "text", "tokens")
-    # per block: its neighbour, its last turns (as many as may be history), and its first turn
-    places = rows.select("conv_id", "block").distinct().withColumn(
-        "after", F.lead("block").over(Window.partitionBy("conv_id").orderBy("block")))
-    last = rows.withColumn("back", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))).where(F.col("back") <= history)
-    p, q = places.alias("p"), last.alias("q")
-    carried = q.join(p.where("after is not null"), F.col("q.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("q.block") == F.col("p.block"))).select(
-        F.col("q.conv_id"), F.col("p.after").alias("block"), F.lit(1).alias("part"), "turn", "role", "text", "tokens")
-    first = rows.groupBy("conv_id").agg(F.min(F.struct(F.col("block").alias("block"), said.alias("s"))).alias("f")).where("f.s.role = 'system'").select("conv_id", F.col("f.block").alias("at"), "f.s.*")
-    s = first.alias("s")
-    heads = places.alias("p").join(s, F.col("p.conv_id").eqNullSafe(F.col("s.conv_id"))).select(
-        F.col("p.conv_id"), F.col("p.block"), F.when(F.col("p.block") == F.col("s.at"), 0).otherwise(-1).alias("part"), F.col("s.turn"), "role", "text", "tokens")
-    everything = heads.unionByName(carried).unionByName(rows.withColumn("part", F.lit(2)))
+    # pieces are cut by the heads of long texts, so that few bytes are sampled; equal short turns may part anywhere
+    head = F.substring("text", 1, HEAD)
+    any_ = F.when(F.length("text") <= HEAD, -1 - F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 62))).otherwise(0)  # a short text comes before longer ones with its head
+    line = ["conv_id", "turn", "role", "text"]
+    spread = rows.withColumn("head", head).withColumn("any", any_).repartitionByRange("conv_id", "turn", "role", "head", "any")
+    rows = stage(spread.select(*line).sortWithinPartitions(*line).withColumn("piece", F.spark_partition_id().cast("long")).mapInArrow(
+        _counted(vocab), "conv_id long, turn long, role string, text string, piece long, number long, tokens long"), "turns")
+    sizes = rows.groupBy("conv_id", "piece").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    # a piece begins inside one conversation at most: these are no more rows than pieces
+    later = sizes.withColumn("before", before).where("before > 0").select(F.col("conv_id").alias("c_"), F.col("piece").alias("p_"), "before")
+    here = F.col("conv_id").eqNullSafe(F.col("c_")) & (F.col("piece") == F.col("p_"))
+    placed = rows.join(F.broadcast(later), here, "left").withColumn("place", F.col("number") + F.coalesce("before", F.lit(0)))
+    said = placed.withColumn("block", F.floor(F.col("place") / BLOCK)).select("conv_id", "block", F.lit(2).alias("part"), "place", "role", "text", "tokens")
+    # the turns before a block that may be history; the system turn comes by itself
+    reach = F.floor((F.col("place") + history) / BLOCK)
+    carried = said.where((reach > F.col("block")) & ((F.col("place") > 0) | (F.col("role") != "system"))).select(
+        "conv_id", F.explode(F.sequence(F.col("block") + 1, reach)).alias("block"), F.lit(1).alias("part"), "place", "role", "text", "tokens")
+    whole = sizes.groupBy(F.col("conv_id").alias("c_")).agg(F.sum("n").alias("n"))
+    first = said.where("place = 0 and role = 'system'").join(whole, F.col("conv_id").eqNullSafe(F.col("c_")))
+    heads = first.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))).alias("block"), "place", "role", "text", "tokens")
+    heads = heads.select("conv_id", "block", F.when(F.col("block") == 0, 0).otherwise(-1).alias("part"), "place", "role", "text", "tokens")
+    everything = heads.unionByName(carried).unionByName(said)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, system, before, turns, out, size = None, None, [], [], [], 0
-
-        def done() -> Iterator[dict]:
-            own = list(turns)
-            past = list(before)
-            if system:  # the system turn is among the turns of its block, and may be among the history
-                if system[3]:
-                    own = own[1:]
-                elif past and past[0][:3] == system[:3]:
-                    past = past[1:]
-            for w in block_windows(system, past, own, budget, history):
-                yield {"conv_id": unit[0], "block": unit[1], **w}
-
-        for batch in batches:
-            for conv, block, part, role, text, tokens in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "block", "part", "role", "text", "tokens")), strict=True):
-                if unit != (conv, block):
-                    if unit is not None:
-                        out += (found := list(done()))
-                        size += sum(len(w["text"]) for w in found)
-                    unit, system, before, turns = (conv, block), None, [], []
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(out, _WINDOW)
-                        out, size = [], 0
-                if part <= 0:
-                    system = (role, text, tokens, part == 0)
-                elif part == 1:
-                    before.append((role, text, tokens))
-                else:
-                    turns.append((role, text, tokens))
-        if unit is not None:
-            out += list(done())
+        def made() -> Iterator[dict]:
+            unit, system, before, turns = None, None, [], []
+
+            def done() -> Iterator[dict]:
+                # the system turn is among the turns of the first block
+                for w in block_windows(system, before, turns[1:] if system and system[3] else turns, budget, history):
+                    yield {"conv_id": unit[0], "block": unit[1], **w}
+
+            for batch in batches:
+                for conv, block, part, role, text, tokens in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "block", "part", "role", "text", "tokens")), strict=True):
+                    if unit != (conv, block):
+                        if unit is not None:
+                            yield from done()
+                        unit, system, before, turns = (conv, block), None, [], []
+                    if part <= 0:
+                        system = (role, text, tokens, part == 0)
+                    else:
+                        (before if part == 1 else turns).append((role, text, tokens))
+            if unit is not None:
+                yield from done()
+
+        out, size = [], 0
+        for w in made():
+            out.append(w)
+            size += len(w["text"])
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_pylist(out, _WINDOW)
+                out, size = [], 0
         if out:
             yield pa.RecordBatch.from_pylist(out, _WINDOW)
 
-    order = ["conv_id", "block", "part", "turn", "role", "text"]
+    order = ["conv_id", "block", "part", "place"]
     return everything.repartition("conv_id", "block").sortWithinPartitions(*order).mapInArrow(run, _WINDOW_SQL)
 
 

@@ -262,6 +262,20 @@ def test_chat_windows_read_back(spark, monkeypatch, budget, block):
     assert any(len(list(chat.turns_of(w.text))) - w.n_new > 1 for w in later)  # history is repeated, also over blocks
 
 
+def test_chat_blocks_are_bounded_whatever_the_numbers(spark, monkeypatch):
+    """Null and repeated turn numbers, and repeated rows, do not gather in one block."""
+    monkeypatch.setattr(chat, "BLOCK", 8)
+    rows = [(None, None, "user", f"t{i}") for i in range(60)] + [(3, 5, "assistant", "same")] * 50 + [(None, i % 3, "user", "x" * i) for i in range(40)]
+    rows += [(8, 10 ** 6 * i, ("system", "user")[i > 0], f"far {i}") for i in range(20)]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), BYTES, 64)
+    per_block = collections.Counter()
+    for w in made.collect():
+        per_block[w.conv_id, w.block] += w.n_new
+    assert max(per_block.values()) <= 8 and sum(per_block.values()) == len(rows)
+    read = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(made).collect()}
+    assert read == _turns(rows)
+
+
 def test_chat_escapes_are_undone():
     rng = random.Random(9)
     for _ in range(3000):
