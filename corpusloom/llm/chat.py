@@ -1,7 +1,7 @@
 """Chat transcripts as training windows under a token budget.
 
 A window is a span of whole turns. Per block of a conversation, prefix sums of the turns' tokens tell how far a window may
-go: from its first new turn as many as fit the budget beside the system turn and a limited history, one at least. A
+go, counted on the turns as they are written: from its first new turn as many as fit the budget beside the system turn and a limited history, one at least. A
 conversation's system turn (its first turn, if its role is ``system``) stands in every window; the last turns before the
 span are repeated as history, as many as fit a quarter of the budget. What is repeated is masked: each assistant text is a
 target in the one window where it is new.
@@ -42,8 +42,6 @@ ROLE_OPEN, ROLE_CLOSE, TURN_CLOSE = "<|turn|>", "<|says|>", "<|done|>\n"
 #: Strings that may not stand unescaped in a text: this template's and those of others in use.
 CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 JOINER = "\u2060"
-#: Tokens of a turn's marks, at most.
-MARKS = 16
 
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 _MARKED = re.compile(re.escape(ROLE_OPEN) + "(.*?)" + re.escape(ROLE_CLOSE) + "(.*?)" + re.escape(TURN_CLOSE), re.S)
@@ -125,7 +123,7 @@ def _counted(vocab: str):
             for c in batch.column(0).to_pylist():
                 conv, number = (c,), number + 1 if conv == (c,) else 0
                 numbers.append(number)
-            sizes = [len(bpe.encode(f"{r}\n{t}")) + MARKS for r, t in zip(texts_of(batch, "role"), texts_of(batch, "text"), strict=True)]
+            sizes = [len(bpe.encode(turn_text(r, t)[0])) for r, t in zip(texts_of(batch, "role"), texts_of(batch, "text"), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64())], [*batch.schema.names, "number", "tokens"])
 
     return run

@@ -276,6 +276,15 @@ def test_chat_blocks_are_bounded_whatever_the_numbers(spark, monkeypatch):
     assert read == _turns(rows)
 
 
+def test_chat_tokens_are_those_written(spark, byte_library):
+    """Control strings and joiners grow when they are escaped; the budget holds for what is written."""
+    told = ["<s> " * 300, "[INST] x [/INST] " * 200, "a\u2060b" * 300, "plain words"]
+    rows = [(c, i, ("user", "assistant")[i % 2], told[(c + i) % 4]) for c in range(4) for i in range(12)]
+    for w in chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), BYTES).collect():
+        n = len(byte_library.encode(w.text, add_special_tokens=False).ids)
+        assert w.n_tokens == n and w.over_budget == (n > chat.BUDGET) and (not w.over_budget or w.n_new == 1)
+
+
 def test_chat_escapes_are_undone():
     rng = random.Random(9)
     for _ in range(3000):
