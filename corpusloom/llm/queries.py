@@ -1,6 +1,6 @@
 """The registered queries of this folder and their SQL."""
 
-from corpusloom.llm import chat, langid, matrices, onebit, packing, quality, secrets, simhash, transducer, warc
+from corpusloom.llm import additive, chat, langid, matrices, onebit, packing, phrases, quality, secrets, simhash, transducer, warc, whitening
 from corpusloom.llm.sql import ORACLES  # noqa: F401
 
 QUERIES = {
@@ -14,4 +14,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_bpe_transducer": transducer.op9_bpe_transducer,
     "op10_onebit_neighbours": onebit.op10_onebit_neighbours,
+    "op11_phrases": phrases.op11_phrases,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_quality_scores": additive.op13_quality_scores,
 }

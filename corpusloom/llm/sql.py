@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries of this folder that SQL can express."""
 
+from corpusloom.llm.phrases import COVERED, DEPTH, LEAST, TOP
 from corpusloom.llm.quality import FENCES, LEAST_GROUP, LEAST_WORDS, MOST_REPEATED
 
 _BLANK = r"[\x20\x09-\x0D]"
@@ -50,7 +51,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m JOIN outside USING (rid)"""
 
 
+def _phrases() -> str:
+    return rf"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+g AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS a
+      FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, {DEPTH + 1}) t(k)) GROUP BY ALL),
+f AS (SELECT * FROM g WHERE a >= {LEAST}),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+cuts AS (SELECT lang, phrase, k, a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS head, array_to_string(string_split(phrase, ' ')[c + 1:k], ' ') AS rest
+         FROM f, range(1, {DEPTH}) t(c) WHERE c < k),
+scored AS (SELECT cuts.*, h.a AS l, t.a AS r, ((1000000::HUGEINT * cuts.a * cuts.a) // (h.a::HUGEINT * t.a))::BIGINT AS score
+           FROM cuts JOIN g h ON h.lang = cuts.lang AND h.phrase = head JOIN g t ON t.lang = cuts.lang AND t.phrase = rest),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inner_ AS (SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + j - 1], ' ') AS phrase, max(a) AS longer
+           FROM f, range(2, {DEPTH}) s(j), range(1, {DEPTH}) t(i) WHERE k > j AND i + j - 1 <= k GROUP BY 1, 2),
+kept AS (SELECT weakest.* FROM weakest LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < {COVERED} * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang)
+WHERE rank <= {TOP}"""
+
+
 ORACLES = {
+    "op11_phrases": _phrases(),
     "op2_quality_rules": _quality(),
     "op3_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
 k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p)
