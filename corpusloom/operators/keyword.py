@@ -1,14 +1,17 @@
 """Keyword retrieval: term gates, field scores and the best chunk per page."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom import fixed_values as fv
 from corpusloom.functions import korean
-from corpusloom.functions.text import let, normalize, occurrences
+from corpusloom.functions.text import normalize
 from corpusloom.operators import keyword_blocks
-from corpusloom.operators.matching import MAX_SHIPPED_TERMS, with_matches
+from corpusloom.operators.matching import TermFilter, blocks, find, term_filter
 from corpusloom.operators.ranking import best_per_key, positive_limit, score_key, top_k
 from corpusloom.storage import stage
 
@@ -43,19 +46,76 @@ def searchable_chunks(chunks: DataFrame, now_year: int) -> DataFrame:
     )
 
 
-def scan_chunks(texts: DataFrame, terms: DataFrame, max_shipped: int = MAX_SHIPPED_TERMS) -> DataFrame:
-    """One row per chunk: lengths, months and, for every term found, its count per field."""
-    scan = texts.withColumn("scan", F.concat_ws("\n", "gate", F.concat("title", "keyword")))
-    found = with_matches(scan, terms, "chunk_id", "scan", max_shipped)
+_FACT = pa.struct([("term", pa.string()), ("in_gate", pa.bool_()), ("in_head", pa.bool_()), *((f"tf_{f}", pa.int32()) for f in FIELDS)])
+
+
+def _apart(starts: np.ndarray, length: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Non-overlapping windows of each group, taken from the left; groups are runs of ``starts``."""
+    counts = sizes.copy()
+    close = np.flatnonzero((np.diff(starts) < length[1:]) & (np.diff(starts) >= 0))
+    groups = np.unique(np.searchsorted(first, close, "right") - 1)
+    for g in groups[close.size and sizes[groups] > 1].tolist() if close.size else []:
+        end, n = -1, 0
+        for at in starts[first[g]:first[g] + sizes[g]].tolist():
+            if at >= end:
+                end, n = at + int(length[first[g]]), n + 1
+        counts[g] = n
+    return counts
+
+
+def _block_facts(titles: list[bytes], keywords: list[bytes], contents: list[bytes], gates: list[bytes], terms: TermFilter) -> pa.ListArray:
+    """What each chunk of a block has of the terms: its counts per field, and whether gate and head hold it."""
+    n = len(titles)
+    hits = find([*gates, *(t + k for t, k in zip(titles, keywords, strict=True))], terms)
+    chunk, in_gate = hits.segment % n, hits.segment < n
+    sizes = lambda texts: np.array([len(t) for t in texts], np.int64)[chunk]
+    title, end = sizes(titles), hits.start + hits.length
+    # a window counts for the field it lies in; what spans two fields only opens the gate
+    part = np.full(len(chunk), 3)
+    part[in_gate & (end <= title)] = 0
+    part[~in_gate & (hits.start >= title)] = 1
+    part[in_gate & (hits.start >= sizes(gates) - sizes(contents))] = 2
+    width = max(1, len(hits.words))
+    group = (chunk * width + hits.code) * 4 + part
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    counts = _apart(hits.start[order], hits.length[order], first, np.diff(np.append(first, len(group))))
+    pair, where = np.unique(group[first] // 4, return_inverse=True)
+    row, code = np.divmod(pair, width)
+    columns = [hits.words.take(pa.array(code)).cast(pa.string())]
+    pairs = np.searchsorted(pair, chunk * width + hits.code)
+    for side in (in_gate, ~in_gate):
+        columns.append(pa.array(np.bincount(pairs[side], minlength=len(pair)) > 0))
+    for k in range(len(FIELDS)):
+        mine = group[first] % 4 == k
+        columns.append(pa.array(np.bincount(where[mine], counts[mine], len(pair)).astype(np.int32)))
+    facts = pa.StructArray.from_arrays(columns, fields=list(_FACT))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), facts)
+
+
+def scan_chunks(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row per chunk: lengths, months and, for every term found, its count per field.
+
+    Among the terms of ``facts`` there may be a few strings nobody asked for (see ``matching``); later steps join on the term.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(term_filter(terms))
 
-    def facts(text):
-        return F.transform("found", lambda t: F.struct(
-            t.alias("term"), F.contains(text["gate"], t).alias("in_gate"), F.contains(text["head"], t).alias("in_head"),
-            *[occurrences(text[f], t).alias(f"tf_{f}") for f in FIELDS]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            fields = [batch.column(names.index(c)).cast(pa.binary()).to_pylist() for c in ("title", "keyword", "content", "gate")]
+            for a, b in blocks([len(x) + len(y) for x, y in zip(fields[1], fields[3], strict=True)]):
+                facts = _block_facts(*(f[a:b] for f in fields), shared.value)
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in kept), facts], [*kept, "facts"])
 
-    # the texts are bound once per row and counted before terms become rows, so nothing long is copied per term
-    bound = F.struct("title", "keyword", "content", "gate", F.concat("title", "keyword").alias("head"))
-    return found.select("chunk_id", "page_id", "months", *_lengths(), let(bound, facts).alias("facts"))
+    rows = texts.select("chunk_id", "page_id", "months", *_lengths(), *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "keyword", "content", "gate")])
+    kept = ["chunk_id", "page_id", "months", *LENGTHS]
+    counts = ", ".join(f"tf_{f}: int" for f in FIELDS)
+    lengths = ", ".join(f"{c} int" for c in LENGTHS)
+    months = texts.schema["months"].dataType.simpleString()
+    return rows.mapInArrow(run, f"chunk_id string, page_id string, months {months}, {lengths}, facts array<struct<term: string, in_gate: boolean, in_head: boolean, {counts}>>")
 
 
 def term_hits(scanned: DataFrame) -> DataFrame:
@@ -118,14 +178,13 @@ def _gated_pairs(texts, hits, terms, queries) -> DataFrame:
     return pairs.unionByName(located.join(by_month, "month").select("query_id", "chunk_id").distinct())
 
 
-def prepare(chunks: DataFrame, terms: DataFrame, months: DataFrame | None, now_year: int,
-            max_shipped: int = MAX_SHIPPED_TERMS) -> Prepared:
+def prepare(chunks: DataFrame, terms: DataFrame, months: DataFrame | None, now_year: int) -> Prepared:
     """Scan the chunks once for all terms; every later step works on the hits.
 
     ``chunks`` may be the result of ``searchable_chunks``, which ingest can write once for all batches.
     """
     texts = chunks if "gate" in chunks.columns else searchable_chunks(chunks, now_year)
-    scanned = stage(scan_chunks(texts, terms, max_shipped), "scanned_chunks")
+    scanned = stage(scan_chunks(texts, terms), "scanned_chunks")
     hits, facts = term_hits(scanned), scanned.drop("facts")
     queries = _queries(terms, months)
     return Prepared(scanned, facts, hits, terms, queries, stage(_gated_pairs(facts, hits, terms, queries), "gated_pairs"))
@@ -231,8 +290,7 @@ def rank_pages(scores: DataFrame, limits: DataFrame | None = None, k: int = fv.K
 
 
 def search(chunks: DataFrame, terms: DataFrame, now_year: int, months: DataFrame | None = None,
-           limits: DataFrame | None = None, k: int = fv.KEYWORD_TOP_K, max_k: int | None = None,
-           max_shipped: int = MAX_SHIPPED_TERMS) -> DataFrame:
+           limits: DataFrame | None = None, k: int = fv.KEYWORD_TOP_K, max_k: int | None = None) -> DataFrame:
     """Ranked chunks per query from the keyword rules."""
-    prepared = prepare(chunks, terms, months, now_year, max_shipped)
+    prepared = prepare(chunks, terms, months, now_year)
     return rank_pages(page_scores(prepared, max(max_k or k, k)), limits, k, max_k)

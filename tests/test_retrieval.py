@@ -1,5 +1,7 @@
 """Golden cases of retrieval, questions, context and evaluation."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,20 +65,49 @@ def test_keyword_search_finds_dates_and_synonyms(spark):
     q = questions(spark, "26년 5월 26일자로 기술회의록 알려줘", "사내 전결 규정 알려줘")
     terms = keyword.query_terms(q, NOW)
     months = q.select("query_id", korean.requested_months(F.col("query")).alias("months"))
-    for shipped in (1000, 0):  # automaton and n-gram join agree
-        top = {r.query_id: r.chunk_id for r in keyword.search(chunks, terms, NOW, months, max_shipped=shipped).filter("rank = 1").collect()}
-        assert top == {"0": "meeting", "1": "policy"}
+    top = {r.query_id: r.chunk_id for r in keyword.search(chunks, terms, NOW, months).filter("rank = 1").collect()}
+    assert top == {"0": "meeting", "1": "policy"}
+
+
+term_filter = matching.term_filter
+
+
+def full_filter(terms):
+    real = term_filter(terms)
+    return matching.TermFilter(real.log_bits, np.full_like(real.bits, 255), real.lengths)
 
 
-def test_matching_paths_agree_with_brute_force(spark):
-    texts = [("1", "abcabc the cat"), ("2", "the"), ("3", "xx"), ("4", "thecat abca")]
-    words = ["abc", "th", "the", "cat", "a", "thecat", "zz", "bcab"]
+def test_matching_agrees_with_brute_force(spark, monkeypatch):
+    texts = [("1", "abcabc the cat"), ("2", "the"), ("3", "xx"), ("4", "thecat abca"), ("5", None), ("6", ""), ("7", "회의록 회의" * 9)]
+    words = ["abc", "th", "the", "cat", "a", "thecat", "zz", "bcab", "회의", "록 회", "x" * 70, "", None]
     t = spark.createDataFrame(texts, "chunk_id string, text string")
     w = spark.createDataFrame([(x,) for x in words], "term string")
-    expected = {(k, x) for k, v in texts for x in words if x in v}
-    for shipped in (100, 0):
-        got = matching.match_terms(t, w, "chunk_id", max_shipped=shipped).collect()
+    expected = {(k, x) for k, v in texts for x in words if x and x in (v or "")}
+    # a full filter lets every window through, and the pairs stay the same
+    for full, block in ((False, 1 << 20), (True, 4)):
+        monkeypatch.setattr(matching, "term_filter", full_filter if full else term_filter)
+        monkeypatch.setattr(matching, "BLOCK", block)
+        got = matching.match_terms(t, w, "chunk_id").collect()
         assert len(got) == len(expected) and {(r.chunk_id, r.term) for r in got} == expected
+    assert matching.match_terms(t, w.filter("false"), "chunk_id").count() == 0
+
+
+def test_field_counts_agree_with_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ab회") for _ in range(rng.randrange(n)))
+    rows = [(str(i), "p", word(6), word(8), word(60), []) for i in range(60)] + [("x", None, "aaaa", "aaa", "aaaaaaa", [3])]
+    texts = spark.createDataFrame(rows, "chunk_id string, page_id string, title string, keyword string, content string, months array<int>")
+    texts = texts.withColumn("gate", F.concat("title", F.lit("a"), "content"))
+    terms = ["a", "aa", "ab", "회", "aba", "b회a", "aaaa", "zz"]
+    for filter_ in (term_filter, full_filter):
+        monkeypatch.setattr(keyword, "term_filter", filter_)
+        found = {(r.chunk_id, f.term): f for r in keyword.scan_chunks(texts, spark.createDataFrame([(x,) for x in terms], "term string")).collect() for f in r.facts}
+        for key, _, title, words, content, _ in rows:
+            for t in terms:
+                gate, head = title + "a" + content, title + words
+                want = (t in gate, t in head, title.count(t), words.count(t), content.count(t))
+                got = found.get((key, t))
+                assert (tuple(got)[1:] if got else (False, False, 0, 0, 0)) == want, (key, t)
 
 
 def test_vector_paths_agree_with_brute_force(spark):
