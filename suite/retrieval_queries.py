@@ -422,14 +422,14 @@ def mentioned_context(spark, sf):
 
 
 @query("r21_mention_scores", s.build(f"""
-SELECT m.query_id, c.chunk_id, {_points()} AS score FROM (SELECT {d.both(MENTION)} FROM benchmark) m JOIN chunks_ c USING (space)
-JOIN terms_ t ON t.query_id = m.query_id GROUP BY 1, 2""", "chunks_", "terms_"))
+, x AS (SELECT m.query_id, c.chunk_id, {_points()} AS score FROM (SELECT {d.both(MENTION)} FROM benchmark) m JOIN chunks_ c USING (space)
+  JOIN terms_ t ON t.query_id = m.query_id GROUP BY 1, 2)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, CAST(score AS INT) AS score FROM x) WHERE rank <= 30""", "chunks_", "terms_"))
 def mention_scores(spark, sf):
-    words = d.benchmark_terms(spark, sf).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
-    mentions = d.pick(d.table(spark, sf, "benchmark"), MENTION).select("query_id", "space")
-    rows = d.chunks(spark, sf).join(mentions, "space").join(words, "query_id")
-    return rows.select("query_id", "chunk_id", mention_context.keyword_score(
-        F.col("terms"), F.col("title"), F.col("breadcrumb"), F.col("page_content"), F.lit(False), F.col("content_type")).alias("score"))
+    """The thirty best chunks of the space of every question; no (question, chunk) pairs are made."""
+    mentions = d.pick(d.table(spark, sf, "benchmark"), {**MENTION, "mention_type": "'space'"})
+    found = mention_context.mention_context(mentions, d.benchmark_queries(spark, sf), d.benchmark_terms(spark, sf), d.chunks(spark, sf), 30)
+    return found.withColumnRenamed("keyword_score", "score")
 
 
 _place = "title || ' ' || breadcrumb"
@@ -439,20 +439,21 @@ _day = (f"list_concat({s.groups(s.spaced('place'), '(?:^|[^0-9])(?:[0-9]{2})?(0[
 
 
 @query("r22_month_narrowing", s.build(f"""
-, p AS (SELECT q.query_id, c.chunk_id, {_place} AS place, list_has_any({s.locator_months(_place)}, {s.months_wide('query')}) AS hit,
-          contains({s.norm('query')}, '기술회의') AS wants FROM months_ q, dated_ c WHERE c.space = 'TEAM'),
+, p AS (SELECT q.query_id || '@' || c.space AS query_id, c.chunk_id, {_place} AS place, list_has_any({s.locator_months(_place)}, {s.months_wide('query')}) AS hit,
+          contains({s.norm('query')}, '기술회의') AS wants FROM months_ q, dated_ c),
 f AS (SELECT *, hit AND wants AND contains({s.norm('place')}, '기술회의') AS meeting FROM p),
-g AS (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS any_hit, bool_or(meeting) OVER (PARTITION BY query_id) AS any_meeting FROM f)
-SELECT query_id, chunk_id, coalesce(list_min(list_transform({_day}, lambda x: CAST(x.m AS INT) * 100 + CAST(x.d AS INT))), 9999) AS day
-FROM g WHERE CASE WHEN any_meeting THEN meeting WHEN any_hit THEN hit ELSE true END""", "months_", "dated_"))
+g AS (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS any_hit, bool_or(meeting) OVER (PARTITION BY query_id) AS any_meeting FROM f),
+k AS (SELECT query_id, chunk_id, coalesce(list_min(list_transform({_day}, lambda x: CAST(x.m AS INT) * 100 + CAST(x.d AS INT))), 9999) AS day
+  FROM g WHERE CASE WHEN any_meeting THEN meeting WHEN any_hit THEN hit ELSE true END)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY day, chunk_id) AS rank, chunk_id FROM k) WHERE rank <= 50""", "months_", "dated_"))
 def month_narrowing(spark, sf):
-    questions = d.month_questions(spark, sf)
-    team = mention_context.month_facts(d.dated_pages(spark, sf).filter("space = 'TEAM'")).select(
-        "chunk_id", "space", "months", "is_meeting", "first_day")
-    docs = team.join(questions.select("query_id").withColumn("space", F.lit("TEAM")), "space")
-    kept = mention_context.narrow_to_months(docs, questions)
-    day = F.col("first_day")
-    return kept.select("query_id", "chunk_id", (day["m"] * 100 + day["d"]).cast("int").alias("day"))
+    """Every month question asked of both spaces: the first fifty pages that the months and the meeting rule leave, by day."""
+    both = F.explode(F.array(F.lit("TEAM"), F.lit("LAB"))).alias("space")
+    questions = d.month_questions(spark, sf).select("query_id", "query", both).withColumn("query_id", F.concat_ws("@", "query_id", "space"))
+    mentions = questions.select("query_id", F.lit(0).alias("mention_no"), F.lit("space").alias("mention_type"), F.lit("confluence").alias("source_type"), "space",
+                                F.lit(None).cast("string").alias("page_id"))
+    terms = spark.createDataFrame([], "query_id string, term string")
+    return mention_context.mention_context(mentions, questions, terms, d.dated_pages(spark, sf), 50).select("query_id", "rank", "chunk_id")
 
 
 # --- R23-R25: issue summaries ---------------------------------------------------------------------------------------------------
