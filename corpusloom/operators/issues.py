@@ -1,12 +1,13 @@
 """Issue records to overviews, chunks and project summaries."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom import fixed_values as fv
 from corpusloom.functions import richdoc, splitter, status
 from corpusloom.functions.text import blank_to_null
 from corpusloom.operators.prepare import chunk_header, number_chunks
-from corpusloom.operators.ranking import top_k
+from corpusloom.operators.ranking import placed, top_k
+from corpusloom.storage import stage
 
 FIELD = "struct<id: string, name: string, text: string>"
 
@@ -147,51 +148,57 @@ def issue_chunks(overviews: DataFrame, site: str = "", pieces: Column | None = N
         F.concat(chunk_header(F.col("chunk_index"), F.col("chunk_count")), F.col("piece")).alias("page_content"))
 
 
-def project_summary(overviews: DataFrame) -> DataFrame:
-    """Counts per category and the text of each project's status summary.
+LABELS = {"todo": "To do", "in_progress": "In progress", "done": "Done"}  # fixed values
 
-    ``overviews`` holds at most ``MAX_ISSUES`` issues per project (see ``newest``), which bounds every list here.
+
+def project_summary(overviews: DataFrame, size: int = fv.MAX_ISSUES) -> DataFrame:
+    """Counts per category and the text of each project's status summary, in parts of at most ``size`` issues.
+
+    Issues stand by category, the newest first. They are placed by a range sort, so no task holds a whole project; a project of
+    up to ``size`` issues has one part, which is its whole summary.
     """
     details = F.concat_ws(
         "; ", F.concat(F.lit("status="), F.col("status_name")), F.concat(F.lit("assignee="), F.col("assignee")),
         F.concat(F.lit("updated="), F.coalesce("updated", F.lit("None"))),
         F.concat(F.lit("due_date="), blank_to_null(F.col("due_date"))))
     line = F.concat(F.lit("- "), F.col("key"), F.lit(": "), F.col("summary"), F.lit(" ("), details, F.lit(")"))
-    labels = {"todo": "To do", "in_progress": "In progress", "done": "Done"}  # fixed values
-    is_in = {c: F.col("status_category") == c for c in labels}
-    entry = F.struct(F.coalesce("updated", F.lit("")).alias("u"), "key", line.alias("line"))
-    grouped = overviews.groupBy("project").agg(
-        F.min("project_name").alias("project_name"), F.count("*").alias("issues"),
-        *[F.count_if(is_in[c]).cast("int").alias(c) for c in labels],
-        *[F.collect_list(F.when(is_in[c], entry)).alias(f"_{c}") for c in labels])
-
-    def newest_first(c):
-        key = lambda x, y: (
-            F.when(x["u"] > y["u"], -1).when(x["u"] < y["u"], 1).when(x["key"] < y["key"], -1)
-            .when(x["key"] > y["key"], 1).otherwise(0))
-        return F.transform(F.array_sort(c, key), lambda e: e["line"])
-
-    def block(c):
-        head = F.array(F.concat(F.lit(f"{labels[c]} issues ("), F.col(c).cast("string"), F.lit("):")))
-        body = F.when(F.col(c) == 0, F.array(F.lit("- None"))).otherwise(newest_first(F.col(f"_{c}")))
-        return F.concat(head, body, F.array(F.lit("")))
-
-    counts = F.concat_ws(", ", *[F.concat(F.lit(f"{labels[c]}="), F.col(c).cast("string")) for c in labels])
-    head = F.array(
-        F.lit("Content type: jira_project_status_summary"),
-        F.concat(F.lit("Project: "), F.col("project_name"), F.lit(" ("), F.col("project"), F.lit(")")),
+    kind = F.col("status_category")
+    section = F.coalesce(*[F.when(kind == c, i) for i, c in enumerate(LABELS, 1)])
+    counts = overviews.groupBy("project").agg(
+        F.min("project_name").alias("project_name"), F.count("*").alias("issues"), *[F.count_if(kind == c).cast("int").alias(c) for c in LABELS])
+    rows = overviews.select("project", section.alias("section"), F.coalesce("updated", F.lit("")).alias("updated"), "key", line.alias("line")).filter("section is not null")
+    lines = placed(rows, ["project"], [F.col("section"), F.desc("updated"), F.col("key")]).select(
+        "project", F.floor((F.col("place") - 1) / size).cast("int").alias("part_no"), "section", "place", "line")
+
+    # heads stand before the first line of their section, blank lines after the last; an empty section is at the end of those before it
+    total = {c: sum((F.col(x) for x in list(LABELS)[:i]), F.lit(0)) for i, c in enumerate([*LABELS, None])}
+    part_of = lambda place: F.floor(F.greatest(place - 1, F.lit(0)) / size).cast("int")
+    extra = [F.struct(F.lit(0).alias("part_no"), F.lit(0).alias("section"), F.lit(i).cast("long").alias("place"), text.alias("line")) for i, text in enumerate([
+        F.lit("Content type: jira_project_status_summary"), F.concat(F.lit("Project: "), F.col("project_name"), F.lit(" ("), F.col("project"), F.lit(")")),
         F.concat(F.lit("Total issues indexed: "), F.col("issues").cast("string")),
-        F.concat(F.lit("Status category counts: "), counts), F.lit(""))
-    return grouped.select(
-        "project", "project_name", "issues", *labels,
-        F.array_join(F.concat(head, *[block(c) for c in labels]), "\n").alias("text"))
+        F.concat(F.lit("Status category counts: "), F.concat_ws(", ", *[F.concat(F.lit(f"{LABELS[c]}="), F.col(c).cast("string")) for c in LABELS])), F.lit("")])]
+    for i, c in enumerate(LABELS, 1):
+        first, last = total[c] + F.when(F.col(c) > 0, 1).otherwise(0), total[c] + F.col(c)
+        head = F.concat(F.lit(f"{LABELS[c]} issues ("), F.col(c).cast("string"), F.lit("):"))
+        for place, at, text in ((first, F.lit(0), head), (first, F.lit(1), F.when(F.col(c) == 0, F.lit("- None"))), (last, F.lit(1 << 60), F.lit(""))):
+            extra.append(F.struct(part_of(place).alias("part_no"), F.lit(i).alias("section"), at.cast("long").alias("place"), text.alias("line")))
+    heads = counts.select("project", F.explode(F.array(*extra)).alias("x")).select("project", "x.*").filter("line is not null")
+    parts = lines.unionByName(heads).groupBy("project", "part_no").agg(
+        F.array_sort(F.collect_list(F.struct("section", "place", "line"))).alias("lines"))  # at most ``size`` lines and the heads
+    return parts.join(counts, "project").select(
+        "project", "project_name", "part_no", "issues", *LABELS, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
 
 
 def summary_chunks(summaries: DataFrame, site: str = "", pieces: Column | None = None) -> DataFrame:
-    """Chunk rows of project summaries."""
-    cut = number_chunks(summaries, splitter.recursive_chunks("text") if pieces is None else pieces)
+    """Chunk rows of project summaries; the chunks of a project's parts are numbered through."""
+    cut = stage(number_chunks(summaries, splitter.recursive_chunks("text") if pieces is None else pieces), "summary_pieces")
+    before = Window.partitionBy("project").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("project")
+    parts = cut.groupBy("project", "part_no").agg(F.max("chunk_count").alias("_n")).select(
+        "project", "part_no", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_all"))
+    cut = cut.join(parts, ["project", "part_no"]).withColumns({"chunk_index": (F.col("chunk_index") + F.col("_before")).cast("int"), "chunk_count": F.col("_all")})
     page = F.concat("project", F.lit(":status-summary"))
-    counts = F.create_map(*[x for c in ("todo", "in_progress", "done") for x in (F.lit(c), F.col(c))])
+    counts = F.create_map(*[x for c in LABELS for x in (F.lit(c), F.col(c))])
     return cut.select(
         F.concat_ws(":", page, F.col("chunk_index").cast("string")).alias("chunk_id"), page.alias("page_id"),
         F.concat("project", F.lit(" Jira status summary")).alias("title"),

@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpusloom.storage import stage
+
 SCORE_DIGITS = 9
 
 
@@ -14,6 +16,16 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "r
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def placed(df: DataFrame, keys: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """Like ``numbered``, for groups of any size: rows are sorted in range pieces, and a piece's numbers begin after those before it."""
+    cut = stage(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_piece", F.spark_partition_id()), "pieces")
+    sizes = cut.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inner = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*order))
+    return cut.withColumn("_i", inner).join(offsets, [*keys, "_piece"]).withColumn(name, F.col("_before") + F.col("_i")).drop("_piece", "_i", "_before")
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, limit: Column | None = None,
           name: str = "rank") -> DataFrame:
     """First k rows per group; the constant bound prunes before the shuffle, ``limit`` may tighten it per row."""

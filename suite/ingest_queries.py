@@ -585,19 +585,29 @@ _line = ("'- ' || key || ': ' || summary || ' (status=' || status_name || '; ass
          "coalesce('; due_date=' || due_date, '') || ')'")
 
 
-def _block(category, label):
-    return (f"'{label} issues (' || count(*) FILTER (status_category = '{category}') || '):' || chr(10) || coalesce(string_agg({_line}, chr(10) "
-            f"ORDER BY updated DESC, key) FILTER (status_category = '{category}'), '- None') || chr(10)")
-
-
+_sections = {"todo": "To do", "in_progress": "In progress", "done": "Done"}
+_n = {c: f"n_{c}" for c in _sections}
+_heads = [("0", "0", str(i), text) for i, text in enumerate([
+    "'Content type: jira_project_status_summary'", "'Project: ' || project_name || ' (' || project || ')'", "'Total issues indexed: ' || issues",
+    "'Status category counts: To do=' || n_todo || ', In progress=' || n_in_progress || ', Done=' || n_done", "''"])]
+for _i, (_c, _label) in enumerate(_sections.items(), 1):
+    _before = " + ".join(["0", *list(_n.values())[:_i - 1]])
+    _first, _last = f"greatest(0, {_before} + least({_n[_c]}, 1) - 1) // {fv.MAX_ISSUES}", f"greatest(0, {_before} + {_n[_c]} - 1) // {fv.MAX_ISSUES}"
+    _heads += [(_first, str(_i), "0", f"'{_label} issues (' || {_n[_c]} || '):'"), (_first, str(_i), "1", f"CASE WHEN {_n[_c]} = 0 THEN '- None' END"),
+               (_last, str(_i), "1000000000000", "''")]
+s.cte("summary_lines_", f"""
+  SELECT project, (place - 1) // {fv.MAX_ISSUES} AS part_no, section, place, line FROM (
+    SELECT project, CASE status_category WHEN 'todo' THEN 1 WHEN 'in_progress' THEN 2 ELSE 3 END AS section, {_line} AS line,
+      row_number() OVER (PARTITION BY project ORDER BY CASE status_category WHEN 'todo' THEN 1 WHEN 'in_progress' THEN 2 ELSE 3 END, updated DESC, key) AS place
+    FROM overview_)""", "overview_")
+s.cte("summary_counts_", """
+  SELECT project, min(project_name) AS project_name, count(*) AS issues, count(*) FILTER (status_category = 'todo') AS n_todo,
+    count(*) FILTER (status_category = 'in_progress') AS n_in_progress, count(*) FILTER (status_category = 'done') AS n_done FROM overview_ GROUP BY project""", "overview_")
 s.cte("summary_", f"""
-  SELECT project, min(project_name) AS project_name, count(*) AS issues, count(*) FILTER (status_category = 'todo') AS todo,
-  count(*) FILTER (status_category = 'in_progress') AS in_progress,
-  count(*) FILTER (status_category = 'done') AS done, concat_ws(chr(10), 'Content type: jira_project_status_summary',
-  'Project: ' || min(project_name) || ' (' || project || ')', 'Total issues indexed: ' || count(*),
-  'Status category counts: To do=' || count(*) FILTER (status_category = 'todo') || ', In progress=' || count(*) FILTER (status_category = 'in_progress') ||
-  ', Done=' || count(*) FILTER (status_category = 'done'), '', {_block('todo', 'To do')}, {_block('in_progress', 'In progress')}, {_block('done', 'Done')}) AS text
-  FROM overview_ GROUP BY project""", "overview_")
+  SELECT project, project_name, CAST(part_no AS INT) AS part_no, issues, n_todo AS todo, n_in_progress AS in_progress, n_done AS done, text FROM (
+    SELECT project, part_no, string_agg(line, chr(10) ORDER BY section, place) AS text FROM (
+      SELECT * FROM summary_lines_ {' '.join(f"UNION ALL SELECT project, {part}, {section}, {place}, {text} FROM summary_counts_" for part, section, place, text in _heads)})
+    WHERE line IS NOT NULL GROUP BY 1, 2) JOIN summary_counts_ USING (project)""", "summary_lines_", "summary_counts_")
 
 
 # an order as a landed issue: rich description and comments, custom values as plain text
@@ -633,10 +643,10 @@ def ingest_issues(spark, sf):
 
 
 @query("j8_project_summary", s.build(
-    "SELECT project, issues, todo, in_progress, done, md5(text) AS text FROM summary_", "summary_"))
+    "SELECT project, part_no, issues, todo, in_progress, done, md5(text) AS text FROM summary_", "summary_"))
 def project_summary(spark, sf):
     rows = issues.project_summary(issues.overview(d.issues(spark, sf)))
-    return rows.select("project", "issues", "todo", "in_progress", "done", F.md5("text").alias("text"))
+    return rows.select("project", "part_no", "issues", "todo", "in_progress", "done", F.md5("text").alias("text"))
 
 
 @query("j9_newest_issues", s.build("SELECT key, newest_no FROM newest_", "newest_"))

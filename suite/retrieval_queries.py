@@ -199,9 +199,11 @@ def _status_chunks(spark, sf):
 s.cte("status_chunks_", f"""
   SELECT chunk_id, page_id, 'jira_issue' AS content_type, issue_status_category AS category,
     {s.norm("title || breadcrumb || space || space_name || page_content")} AS text FROM issue_chunks_
-  UNION ALL SELECT project || ':status-summary:' || i, project || ':status-summary', 'summary', 'summary',
-    {s.norm("project || ' Jira status summary' || project_name || ' > Jira status summary' || project || project_name || 'Chunk: ' || (i + 1) || '/' || ((greatest(1, length(text) - 150) - 1) // 650 + 1) || 'Content:' || substring(text, 1 + 650 * i, 800)")}
-  FROM (SELECT *, unnest(range(0, (greatest(1, length(text) - 150) - 1) // 650 + 1)) AS i FROM summary_)""", "issue_chunks_", "summary_")
+  UNION ALL SELECT project || ':status-summary:' || (before + i), project || ':status-summary', 'summary', 'summary',
+    {s.norm("project || ' Jira status summary' || project_name || ' > Jira status summary' || project || project_name || 'Chunk: ' || (before + i + 1) || '/' || every || 'Content:' || substring(text, 1 + 650 * i, 800)")}
+  FROM (SELECT *, unnest(range(0, pieces)) AS i FROM (
+    SELECT *, coalesce(sum(pieces) OVER (PARTITION BY project ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+      (sum(pieces) OVER (PARTITION BY project))::BIGINT AS every FROM (SELECT *, (greatest(1, length(text) - 150) - 1) // 650 + 1 AS pieces FROM summary_)))""", "issue_chunks_", "summary_")
 s.cte("status_terms_", f"""
   SELECT query_id, unnest({s.general_terms('query')}) AS term FROM issue_questions_ WHERE NOT ends_with(query_id, 'P')""", "issue_questions_")
 s.cte("status_pairs_", f"""
@@ -490,10 +492,20 @@ def _scopes(spark, sf):
     return d.issue_questions(spark, sf).select("query_id", "space")
 
 
-@query("r23_issue_match", s.build("SELECT query_id, chunk_id, issue, category FROM matching_", "matching_"))
+def _requests(spark, sf):
+    return issue_summary.requests(_scopes(spark, sf), d.issue_questions(spark, sf))
+
+
+@query("r23_issue_match", s.build("""
+SELECT query_id, category, count(*) AS chunks, count(DISTINCT issue) AS issues, min(chunk_id) AS first, max(chunk_id) AS last,
+  CAST(sum(hash) AS BIGINT) AS checksum FROM (SELECT *, CAST(regexp_extract(chunk_id, '([0-9]+):', 1) AS BIGINT) % 99991 AS hash FROM matching_) GROUP BY 1, 2""", "matching_"))
 def issue_match(spark, sf):
-    return issue_summary.matching_issue_chunks(_scopes(spark, sf), d.issue_questions(spark, sf), _issue_chunk_rows(spark, sf)).select(
-        "query_id", "chunk_id", "issue", "category")
+    """What each question's issues are, by category; matches are made once per distinct request."""
+    asked = _requests(spark, sf)
+    hash_ = F.regexp_extract("chunk_id", "([0-9]+):", 1).cast("long") % 99991
+    found = issue_summary.matching_issue_chunks(asked, _issue_chunk_rows(spark, sf)).groupBy("request", "category").agg(
+        F.count("*").alias("chunks"), F.countDistinct("issue").alias("issues"), F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"), F.sum(hash_).alias("checksum"))
+    return asked.select("query_id", "request").join(found, "request").drop("request")
 
 
 @query("r24_scope_inference", s.build(f"""
@@ -515,18 +527,20 @@ s.cte("issue_rows_", """
       "matching_", "issue_chunks_")
 
 
-@query("r25_issue_tables", s.build("""
-SELECT r.query_id, r.space, space_name || ' Jira 조건 검색 요약' AS title, count(*) AS issue_count,
-  md5('Jira project scoped issue summary for ' || space_name || ' (' || r.space || ').' || chr(10) || 'Query: ' || query || chr(10) || 'Matched issue count: ' || count(*) ||
-  chr(10) || chr(10) || '| Issue | Title | Status | Assignee | Date | Updated |' || chr(10) || '| --- | --- | --- | --- | --- | --- |' || chr(10) ||
+@query("r25_issue_tables", s.build(f"""
+, n AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY coalesce(nullif(date, ''), '9999-99-99'), issue) - 1) // {fv.MAX_ISSUES} AS part_no,
+  count(*) OVER (PARTITION BY query_id) AS issue_count FROM issue_rows_)
+SELECT r.query_id, r.space, CAST(part_no AS INT) AS part_no, space_name || ' Jira 조건 검색 요약' AS title, issue_count,
+  md5(CASE WHEN part_no = 0 THEN 'Jira project scoped issue summary for ' || space_name || ' (' || r.space || ').' || chr(10) || 'Query: ' || query || chr(10) || 'Matched issue count: ' || issue_count ||
+  chr(10) || chr(10) || '| Issue | Title | Status | Assignee | Date | Updated |' || chr(10) || '| --- | --- | --- | --- | --- | --- |' || chr(10) ELSE '' END ||
   string_agg('| ' || issue || ' | ' || title || ' | ' || status || ' (' || category || ') | ' || assignee || ' | ' || date || ' | ' || updated || ' |', chr(10)
     ORDER BY coalesce(nullif(date, ''), '9999-99-99'), issue)) AS content
-FROM issue_rows_ r JOIN issue_questions_ q ON q.query_id = r.query_id GROUP BY r.query_id, r.space, space_name, query""", "issue_rows_", "issue_questions_"))
+FROM n r JOIN issue_questions_ q ON q.query_id = r.query_id GROUP BY r.query_id, r.space, space_name, query, part_no, issue_count""", "issue_rows_", "issue_questions_"))
 def issue_tables(spark, sf):
-    questions = d.issue_questions(spark, sf)
-    rows = issue_summary.issue_rows(_scopes(spark, sf), questions, _issue_chunk_rows(spark, sf))
-    docs = issue_summary.summary_documents(rows, questions)
-    return docs.select("query_id", "space", "title", "issue_count", F.md5("page_content").alias("content"))
+    asked = _requests(spark, sf)
+    rows = issue_summary.issue_rows(asked, _issue_chunk_rows(spark, sf))
+    docs = issue_summary.summary_documents(rows, asked, d.issue_questions(spark, sf))
+    return docs.select("query_id", "space", "part_no", "title", "issue_count", F.md5("page_content").alias("content"))
 
 
 # --- R26-R33: context -------------------------------------------------------------------------------------------------------------

@@ -146,7 +146,8 @@ def test_scopes_and_issue_tables(spark):
          "issue_status_category": "in_progress", "page_content": "DEMOAPP 진행중 이슈"}])
     q = questions(spark, "4월 점검 완료 목록 알려줘", "DEMOAPP 프로젝트에서 현재 진행중인 이슈가 뭐야?")
     scopes = spark.createDataFrame([("0", "AM")], "query_id string, space string")
-    doc = issue_summary.summary_documents(issue_summary.issue_rows(scopes, q, chunks), q).first()
+    asked = issue_summary.requests(scopes, q)
+    doc = issue_summary.summary_documents(issue_summary.issue_rows(asked, chunks), asked, q).first()
     assert doc.page_content.count("| AM-180 |") == 1 and doc.issue_count == 1
     assert [r.space for r in scope.infer_scopes(q, chunks).filter("query_id = '1'").collect()] == ["DEMOAPP"]
 
