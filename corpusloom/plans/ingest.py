@@ -49,6 +49,6 @@ def conformed(chunks: DataFrame) -> DataFrame:
     return chunks.select(*[(F.col(n) if n in chunks.columns else F.lit(None)).cast(kind).alias(n) for n, kind in fields])
 
 
-def publish(chunks: DataFrame, table: str, run_id: str) -> None:
-    """Replace the snapshots of the sources in ``chunks`` by this run."""
-    snapshot.replace_source(conformed(chunks), table, run_id)
+def publish(chunks: DataFrame, table: str, run_id: str, sources: DataFrame | None = None) -> None:
+    """Replace the snapshots of ``sources`` (source_type, space), also of those that came out empty, by this run."""
+    snapshot.replace_source(conformed(chunks), table, run_id, sources)

@@ -493,7 +493,7 @@ def _scopes(spark, sf):
 
 
 def _requests(spark, sf):
-    return issue_summary.requests(_scopes(spark, sf), d.issue_questions(spark, sf))
+    return stage(issue_summary.requests(_scopes(spark, sf), d.issue_questions(spark, sf)), "requests")
 
 
 @query("r23_issue_match", s.build("""

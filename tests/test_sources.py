@@ -67,3 +67,50 @@ def test_limits_above_the_built_in_ones_hold(spark):
     from corpusloom.functions import routing
     profiles = routing.profiles(spark).withColumn("keyword_top_k", F.lit(55))
     assert bounds(profiles)["keyword_top_k"] == 55
+
+
+def test_replayed_log_batches_add_nothing(spark, tmp_path):
+    schema = "timestamp string, question string"
+    folder, state, landed_in = str(tmp_path / "log"), str(tmp_path / "state"), str(tmp_path / "in")
+    rows = spark.createDataFrame([("2026-05-01T10:00:00", "a"), ("2026-05-02T10:00:00", "b")], schema)
+    read = lambda: sorted((r.question, r.log_date) for r in log_sink.read_log(spark, folder, "question string").collect())
+    assert read() == []
+    # a first attempt that wrote one day and broke off before its ledger entry
+    log_sink.append_once(rows.filter("question = 'a'"), folder, "s", "7")
+    store, entry = log_sink._store(spark, log_sink._ledger(folder, "s", "7"))
+    assert store.delete(entry, False) and read() == []
+    for _ in range(3):
+        log_sink.append_once(rows, folder, "s", "7")
+        assert read() == [("a", "2026-05-01"), ("b", "2026-05-02")]
+    log_sink.append_once(rows, folder, "s", "8")
+    assert len(read()) == 4 and log_sink.day_folders(spark, folder) == ["2026-05-01", "2026-05-02"]
+    broken = rows.withColumn("question", F.raise_error(F.lit("boom")).cast("string"))
+    assert not log_sink.append(broken, folder, batch="9") and len(read()) == 4
+    for n in range(2):
+        rows.withColumn("question", F.lit(f"stream {n}")).write.mode("append").json(landed_in)
+        for _ in range(2):
+            log_sink.append_stream(spark.readStream.schema(schema).json(landed_in), folder, "live", state)
+    assert len(read()) == 8
+
+
+def test_published_runs(spark, tmp_path):
+    from corpusloom.sources import snapshot
+    table = str(tmp_path / "chunks")
+    rows = spark.createDataFrame([("1", "wiki", "7"), ("2", "wiki", "LAB"), ("3", None, "LAB")], "chunk_id string, source_type string, space string")
+    read = lambda df=None: sorted((r.chunk_id, r.space, r.ingest_run_id) for r in (df or snapshot.read_table(spark, table)).collect())
+    snapshot.replace_source(rows, table, "run1")
+    pinned = snapshot.read_table(spark, table)
+    first = [("1", "7", "run1"), ("2", "LAB", "run1"), ("3", "LAB", "run1")]
+    assert read() == first
+    # rows that are written but not committed are not seen
+    rows.withColumn("chunk_id", F.lit("half")).write.partitionBy("source_type", "space").parquet(f"{table}/data/ingest_run_id=run2")
+    assert read() == first and snapshot.unread_runs(spark, table) == ["run2"]
+    # a source whose new run is empty loses its old rows, others stay
+    gone = spark.createDataFrame([("wiki", "7")], "source_type string, space string")
+    snapshot.replace_source(rows.filter("chunk_id = '2'").withColumn("chunk_id", F.lit("9")), table, "run2", gone)
+    assert read() == [("3", "LAB", "run1"), ("9", "LAB", "run2")]
+    assert read(pinned) == first, "a reader keeps the snapshot it began with"
+    snapshot.replace_source(rows.limit(0), table, "run3", gone)
+    assert read() == [("3", "LAB", "run1"), ("9", "LAB", "run2")]
+    snapshot.drop_run(spark, table, "run2")
+    assert read() == [("2", "LAB", "run1"), ("3", "LAB", "run1")]
