@@ -37,6 +37,8 @@ PER_LANGUAGE = 300
 LEAST_SEEN = 2
 #: Most languages, and most bytes of the tree's table, that are broadcast.
 MOST_LANGUAGES, MOST_TABLE = 1000, 512 << 20
+#: Fence on bits a byte: steps a bit of the counts, distances of the middle half above it, the least such distance, what short texts may add.
+STEPS, REACH, SPREAD, SHORT = 32, 8, 0.25, 40.0
 #: Bytes scored at once.
 BLOCK = 1 << 19
 _START = b"   "
@@ -195,14 +197,38 @@ def predict(docs: DataFrame, trees: ContextTrees, key: str = "doc_id") -> DataFr
     return docs.select(F.col(key).alias("key"), "text").mapInArrow(run, kind).withColumnRenamed("key", key)
 
 
-def known_languages(docs: DataFrame, trees: ContextTrees, least_score: float = 0.5) -> DataFrame:
-    """The rows whose language is known, as they are; texts without letters or without a clear language go."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+def fences(docs: DataFrame, trees: ContextTrees) -> dict[str, float]:
+    """Most bits a byte of a language's texts: from counts of the labelled texts' code lengths, which merge by addition.
+
+    The fence stands ``REACH`` times the distance of the middle half above it, and at least ``REACH * SPREAD`` bits.
+    """
+    found = predict(docs.where("lang is not null and text is not null"), trees).where("bits_per_byte is not null")
+    counts = found.groupBy("lang_pred", F.floor(F.col("bits_per_byte") * STEPS).alias("step")).agg(F.count("*").alias("n")).toPandas()
+    out = {}
+    for lang, rows in counts.groupby("lang_pred"):
+        rows = rows.sort_values("step")
+        share = rows["n"].cumsum() / rows["n"].sum()
+        low, high = (rows["step"][share >= q].iloc[0] / STEPS for q in (0.25, 0.75))
+        out[lang] = float(high + REACH * max(high - low, SPREAD))
+    return out
+
+
+def known_languages(docs: DataFrame, trees: ContextTrees, fence: dict[str, float] | None = None, least_score: float = 0.5) -> DataFrame:
+    """The rows whose language is known, as they are.
+
+    Texts without letters or without a clear language go, and those that the best language's trees code in far more bits a byte
+    than its own texts: other languages and random letters. A short text may lie above the fence by ``SHORT`` bits over the root of its bytes.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((trees, fences(docs, trees) if fence is None else fence))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, most = shared.value
         for batch in batches:
-            langs, scores, _ = answers(shared.value, texts_of(batch, "text"))
-            yield batch.filter(pa.array([lang != UNKNOWN and s >= least_score for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+            texts = texts_of(batch, "text")
+            rows = zip(texts, *answers(trees, texts), strict=True)
+            kept = [lang != UNKNOWN and score >= least_score and bits <= most.get(lang, np.inf) + SHORT / len(text.encode("utf-8", "replace")) ** 0.5
+                    for text, lang, score, bits in rows]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

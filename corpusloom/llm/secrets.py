@@ -3,7 +3,9 @@
 A candidate is a run of 20 or more characters of tokens. Over its parts in each character class (hex digits, base64
 letters, small letters or capitals with digits) a window of 20 characters slides; its Shannon entropy follows from counts that change by one character in and
 one out. Windows at or above the class's threshold that mix the kinds of characters a random string would have are
-joined to spans. Strings that are known to be public (empty digests, alphabets, UUIDs, paths of words, words with numbers) are suppressed.
+joined to spans, and a span is then drawn out over the rest of its run: windows at a key's edge may lack a kind of character,
+but its characters belong to it. It ends before parts that read as a word or a short number between dashes, underscores and
+slashes. Letters alone are a class of their own: both cases must be frequent in a window, more than in names. Strings that are known to be public (empty digests, alphabets, UUIDs, paths of words, words with numbers) are suppressed.
 
 Offsets are code points, ends exclusive. Of a span found by entropy, what patterns cover is taken off, as the
 pattern's stays; the rest stays too. Defined results: a null or empty text has no span. Repeated rows are scanned each; other columns are
@@ -41,6 +43,10 @@ CLASSES = (
     (re.compile(r"[a-z0-9]{20,}"), 3.3, (str.isdigit, str.islower)),
     (re.compile(r"[A-Z0-9]{20,}"), 3.2, (str.isdigit, str.isupper)),
 )
+#: Letters alone: bits a window needs, and how many letters of each case.
+LETTERS, LETTER_BITS, LEAST_UPPER, LEAST_LOWER = re.compile(r"[A-Za-z]{20,}"), 3.4, 7, 5
+#: Parts between dashes, underscores, slashes, plus and equals signs that end a span.
+PART, PLAIN = re.compile(r"[^-_/+=]+|[-_/+=]+"), re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}")
 #: Public strings: digests of the empty string, alphabets and counts.
 PUBLIC = (
     "d41d8cd98f00b204e9800998ecf8427e",
@@ -97,6 +103,38 @@ def random_parts(run: str, bits: float, kinds: tuple) -> Iterator[tuple[int, int
         yield start, end
 
 
+def drawn_out(run: str, start: int, end: int) -> tuple[int, int]:
+    """The span with the parts of the run beside it, as far as they don't read as words or short numbers."""
+    parts = [(m.start(), m.end()) for m in PART.finditer(run)]
+    first = max(i for i, (a, _) in enumerate(parts) if a <= start)
+    last = min(i for i, (_, b) in enumerate(parts) if b >= end)
+    plain = lambda i: PLAIN.fullmatch(run, *parts[i]) is not None
+    # a window may begin or end inside a word beside the key
+    while first < last and (plain(first) or run[parts[first][0]] in "-_/+="):
+        first += 1
+    while last > first and (plain(last) or run[parts[last][0]] in "-_/+="):
+        last -= 1
+    while first > 0 and not plain(first - 1):
+        first -= 1
+    while last < len(parts) - 1 and not plain(last + 1):
+        last += 1
+    start, end = parts[first][0], parts[last][1]
+    # separators at the edges belong to the text around
+    return start + len(run[start:end]) - len(run[start:end].lstrip("-_/+")), end - len(run[start:end]) + len(run[start:end].rstrip("-_/+"))
+
+
+def random_letters(run: str) -> bool:
+    """Whether some window of a run of letters has the entropy, and letters of both cases more often than a name."""
+    upper = [c.isupper() for c in run]
+    inside = sum(upper[:WINDOW])
+    for i in range(len(run) - WINDOW + 1):
+        if i:
+            inside += upper[i + WINDOW - 1] - upper[i - 1]
+        if LEAST_UPPER <= inside <= WINDOW - LEAST_LOWER and any(True for _ in random_parts(run[i:i + WINDOW], LETTER_BITS, (str.isalpha,))):
+            return True
+    return False
+
+
 def uncovered(span: tuple[int, int], base: list[Span]) -> Iterator[tuple[int, int]]:
     """The parts of a span outside the base spans, which are in order."""
     at, end = span
@@ -122,13 +160,19 @@ def spans(text: str | None) -> list[Span]:
     base, more = sorted(found), set()
     for m in CANDIDATE.finditer(text):
         candidate = m[0]
-        if not any(map(str.isdigit, candidate)) or public(candidate):
+        if public(candidate):
+            continue
+        for run in LETTERS.finditer(candidate):
+            if not run[0].islower() and not run[0].isupper() and not public(run[0]) and random_letters(run[0]):
+                more.add((m.start() + run.start(), m.start() + run.end()))
+        if not any(map(str.isdigit, candidate)):
             continue
         for runs, bits, kinds in CLASSES:
             for run in runs.finditer(candidate):
                 if not public(run[0]):
                     at = m.start() + run.start()
-                    more.update((at + s, at + e) for s, e in random_parts(run[0], bits, kinds))
+                    parts = [drawn_out(run[0], s, e) for s, e in random_parts(run[0], bits, kinds)]
+                    more.update((at + s, at + e) for s, e in parts if not public(run[0][s:e]))
     joined: list[list[int]] = []
     for s, e in sorted(more):
         if joined and s <= joined[-1][1]:

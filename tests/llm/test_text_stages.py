@@ -52,6 +52,19 @@ def test_language_odd_rows(edge_docs, no_docs):
     assert {r.lang_pred for r in langid.predict(edge_docs, langid.fit(no_docs)).collect()} == {"und"}
 
 
+def test_language_fence(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    trees = langid.fit(docs)
+    rng = random.Random(6)
+    foreign = ["Αυτό είναι ένα ελληνικό κείμενο που δεν ανήκει εδώ και συνεχίζεται για λίγο ακόμα " * 3, "이것은 여기에 속하지 않는 한국어 문서이며 조금 더 이어집니다 " * 5,
+               "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(400)), "To jest polski tekst, który zupełnie tutaj nie pasuje, więc powinien zostać usunięty z całego zbioru. " * 3]
+    odd = spark.createDataFrame([(10 ** 9 + i, t, None, "x", 1) for i, t in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in langid.known_languages(docs.union(odd), trees).select("doc_id").collect()}
+    assert not any(i >= 10 ** 9 for i in kept)
+    # every given text with a letter stays
+    assert {r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text))} == kept
+
+
 def _brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
@@ -286,6 +299,28 @@ def test_secret_keys_of_one_case():
         assert [s for s in secrets.spans(harmless) if s[2] == "entropy"] == [], harmless
 
 
+@pytest.mark.parametrize("alphabet, length, unseen", [("base62", 40, 0), ("base62", 32, 2), ("base62", 24, 12), ("base62", 20, 60), ("base64", 40, 4), ("letters", 40, 2), ("letters", 24, 40)])
+def test_random_keys_are_found_whole(alphabet, length, unseen):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    chars = {"base62": letters + "0123456789", "base64": letters + "0123456789+/", "letters": letters}[alphabet]
+    rng, missed, parts = random.Random(12), 0, 0
+    for _ in range(1000):
+        key = "".join(rng.choice(chars) for _ in range(length))
+        left = secrets.redacted(f"see {key} there", "").removeprefix("see ").removesuffix(" there")
+        missed += left == key
+        parts += left != key and len(left.strip("+/")) > 3
+    assert missed <= unseen and parts <= (10 if alphabet == "base64" else 0), (missed, parts)
+
+
+def test_names_beside_a_key_stay():
+    key = "f8Kq2ZrT9xLm3VbN7cWd4HsJ"
+    for text in (f"path/to/some-name/{key}", f"{key}/and/other/words", f"prefix_name_{key}"):
+        start, end, _ = secrets.spans(text)[-1]
+        assert text[start:end] == key, text
+    for harmless in ("getUserNameFromDatabaseConnectionPool", "thisIsAVeryLongCamelCaseIdentifierName", "SOMECONSTANTNAMETHATISLONG", "plainlowercaselettersonlyhere", "HttpServletRequestWrapperFactoryBean"):
+        assert secrets.spans(harmless) == [], harmless
+
+
 def test_secret_windows_against_whole_counts():
     rng = random.Random(2)
     kinds = secrets.CLASSES[1][2]
