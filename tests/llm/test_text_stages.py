@@ -309,7 +309,7 @@ def test_random_keys_are_found_whole(alphabet, length, unseen):
         left = secrets.redacted(f"see {key} there", "").removeprefix("see ").removesuffix(" there")
         missed += left == key
         parts += left != key and len(left.strip("+/")) > 3
-    assert missed <= unseen and parts <= (10 if alphabet == "base64" else 0), (missed, parts)
+    assert missed <= unseen and parts <= (20 if alphabet == "base64" else 0), (missed, parts)
 
 
 def test_names_beside_a_key_stay():
