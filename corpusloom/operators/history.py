@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom import fixed_values as fv
 from corpusloom.functions import followup
 from corpusloom.functions.text import blank_to_null, clean_inline, clip, compact
-from corpusloom.operators.ranking import best_per_key, numbered, top_k
+from corpusloom.operators.ranking import best_per_key, numbered, placed, top_k
 
 BLOCK = 1024
 
@@ -21,28 +21,62 @@ def _in_blocks(turns: DataFrame, frame: int, block: int) -> DataFrame:
     return turns.withColumn("_block", F.explode(blocks)).withColumn("_context", F.col("_block") != own)
 
 
-def carry_anchors(turns: DataFrame, frame: int = fv.HISTORY_TURNS, block: int = BLOCK) -> DataFrame:
+def carry_anchors(turns: DataFrame, frame: int = fv.HISTORY_TURNS, block: int = BLOCK, sources: DataFrame | None = None,
+                  last: int = fv.CLIENT_SOURCE_LIMIT) -> DataFrame:
     """Each user turn with the newest anchors of the user turns before it, and the resolved question.
 
-    ``turns``: conv_id, turn, role, content. Any role counts towards the frame.
+    ``turns``: conv_id, turn, role, content. Any role counts towards the frame. Where no turn before names an anchor, the
+    texts of the ``last`` sources given before the turn do (``sources``: conv_id, turn, position, text), the oldest of them first.
     """
     window = Window.partitionBy("conv_id", "_block").orderBy("turn").rowsBetween(-frame, -1)
     own = followup.anchors(F.col("content"))
-    rows = _in_blocks(turns, frame, max(block, frame)).withColumn("current", own)
+    size = max(block, frame)
+    rows = _in_blocks(turns, frame, size).withColumn("current", own)
     user = F.col("role") == "user"
-    last = [
+    newest = [
         F.last(F.when(user, F.col(f"current.{f}")), ignorenulls=True).over(window).alias(f) for f in followup.ANCHORS
     ]
-    seen = rows.select("conv_id", "turn", "role", "content", "current", "_context", *last)
+    seen = rows.select("conv_id", "turn", "role", "content", "current", "_context", "_block", *newest)
     kept = seen.filter(user & ~F.col("_context")).withColumn("previous", F.struct(*followup.ANCHORS))
+    if sources is not None:
+        kept = _with_sources(kept, sources_so_far(sources, last, size), size).withColumn(
+            "previous", fill_from_sources(F.col("previous"), F.coalesce("given", F.array().cast(f"array<{_ANCHORS}>"))))
     return kept.select("conv_id", "turn", "content", followup.resolve(
         F.col("content"), F.col("current"), F.col("previous")).alias("resolved"))
 
 
-def fill_from_sources(previous: Column, source_texts: Column) -> Column:
-    """History anchors, else the first anchors found in the texts of earlier sources."""
-    per_text = F.transform(source_texts, followup.anchors)
+_ANCHORS = "struct<" + ", ".join(f"{f}: string" for f in followup.ANCHORS) + ">"
 
+
+def sources_so_far(sources: DataFrame, last: int = fv.CLIENT_SOURCE_LIMIT, block: int = BLOCK) -> DataFrame:
+    """(conv_id, turn, given): after every turn with sources, the anchors of the last ``last`` sources so far, oldest first."""
+    named = sources.select("conv_id", F.col("turn").alias("_at"), "position", followup.anchors(F.col("text")).alias("anchors"))
+    dense = placed(named, ["conv_id"], [F.col("_at"), F.col("position")]).withColumn("turn", F.col("place") - 1)
+    window = Window.partitionBy("conv_id", "_block").orderBy("turn").rowsBetween(1 - last, 0)
+    held = _in_blocks(dense, last, max(block, last)).withColumn("given", F.collect_list("anchors").over(window)).filter(~F.col("_context"))
+    return held.groupBy("conv_id", F.col("_at").alias("turn")).agg(F.max_by("given", "place").alias("given"))
+
+
+def _with_sources(rows: DataFrame, given: DataFrame, block: int) -> DataFrame:
+    """As-of join: ``given`` of the newest turn before each row.
+
+    Inside a block of turns it is a running value; what a block begins with is the last value of the blocks before it.
+    """
+    own = F.floor((F.col("turn") + 1) / block).cast("long")  # sources of a turn count from the next turn on
+    marks = given.select("conv_id", own.alias("_block"), F.col("turn").alias("_turn"), "given")
+    closing = marks.groupBy("conv_id", "_block").agg(F.max_by("given", "_turn").alias("_close"))
+    every = rows.select("conv_id", "_block").distinct().join(closing, ["conv_id", "_block"], "full")
+    earlier = Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    opening = every.withColumn("_open", F.last("_close", ignorenulls=True).over(earlier)).drop("_close")
+    both = rows.withColumn("_turn", F.col("turn").cast("double")).unionByName(
+        marks.select("conv_id", "_block", (F.col("_turn") + 0.5).cast("double").alias("_turn"), "given"), allowMissingColumns=True)
+    running = Window.partitionBy("conv_id", "_block").orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("_given", F.last("given", ignorenulls=True).over(running)).filter(F.col("turn").isNotNull())
+    return seen.join(opening, ["conv_id", "_block"], "left").withColumn("given", F.coalesce("_given", "_open")).drop("_given", "_open", "_turn")
+
+
+def fill_from_sources(previous: Column, per_text: Column) -> Column:
+    """History anchors, else of every field the first in the anchors of earlier sources."""
     def first_of(field):
         return F.get(F.filter(F.transform(per_text, lambda a: a[field]), lambda v: v.isNotNull()), F.lit(0))
 

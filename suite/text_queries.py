@@ -310,6 +310,32 @@ def followups(spark, sf):
     return rows.select("conv_id", "turn", "resolved.scope_changed", "resolved.retrieval_query", "resolved.anchors.*")
 
 
+_given = ", ".join(f"'{f}': arg_min(sa.{f}, st * 10 + pos) FILTER (sa.{f} IS NOT NULL)" for f in FIELDS)
+s.cte("cited_", f"""
+  SELECT conv_id, turn AS st, pos, {anchor_sql('text')} AS sa FROM (
+    SELECT conv_id, turn, unnest([0, 1]) AS pos, CASE WHEN unnest([0, 1]) = 0 THEN content ELSE '분기 보고서' END AS text FROM kturns_ WHERE role = 'assistant')""", "kturns_")
+s.cte("given_", f"""
+  SELECT conv_id, turn, {{{_given}}} AS g FROM (
+    SELECT t.conv_id, t.turn, c.st, c.pos, c.sa, row_number() OVER (PARTITION BY t.conv_id, t.turn ORDER BY st DESC, pos DESC) AS back
+    FROM kturns_ t JOIN cited_ c ON c.conv_id = t.conv_id AND c.st < t.turn WHERE t.role = 'user') WHERE back <= 3 GROUP BY 1, 2""", "kturns_", "cited_")
+_one = ", ".join(f"'{f}': lag(CASE WHEN role = 'user' THEN a.{f} END) OVER w" for f in FIELDS)
+s.cte("filled_", f"""
+  SELECT r.conv_id, r.turn, content, role, a, CASE WHEN coalesce({', '.join('q.' + f for f in FIELDS)}) IS NULL THEN g ELSE q END AS p FROM (
+    SELECT conv_id, turn, role, content, a, {{{_one}}} AS q FROM (SELECT *, {anchor_sql('content')} AS a FROM kturns_)
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) r LEFT JOIN given_ USING (conv_id, turn)""", "kturns_", "given_")
+
+
+@query("q14_source_fallback", s.build(f"""
+, x AS (SELECT conv_id, turn, content, NOT {_keep} AS scope_changed, CASE WHEN {_keep} THEN a ELSE {_merge} END AS m FROM filled_ WHERE role = 'user')
+SELECT conv_id, turn, scope_changed, CASE WHEN scope_changed THEN {format_sql('m')} ELSE content END AS retrieval_query FROM x""", "filled_"))
+def source_fallback(spark, sf):
+    """Follow-ups that look one turn back only, and else at the last three sources cited before them, two of each answer."""
+    turns = d.korean_turns(spark, sf)
+    cited = turns.filter("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.array("content", F.lit("분기 보고서"))).alias("position", "text"))
+    rows = history.carry_anchors(turns, frame=1, sources=cited, last=3)
+    return rows.select("conv_id", "turn", "resolved.scope_changed", "resolved.retrieval_query")
+
+
 @query("q15_format_anchors", s.build(f"SELECT query_id, {format_sql('a')} AS formatted FROM anchors_", "anchors_"))
 def format_anchors(spark, sf):
     return d.questions(spark, sf).select("query_id", followup.format_anchors(followup.anchors(F.col("query"))).alias("formatted"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import followup, korean, routing
 from corpusloom.operators import context, evaluation, fusion, history, issue_summary, keyword, matching, mention_context, scope, vector
+from corpusloom.plans import retrieve
 from corpusloom.sources import landed, schemas, snapshot
 from corpusloom.streaming import log_statistics
 from corpusloom.operators.query_log import route_statistics
@@ -58,6 +59,21 @@ def test_followups_and_block_splitting(spark, block):
     assert got["d", 14].retrieval_query == "홍길동 5월 3주차 주간보고" and len([k for k in got if k[0] == "d"]) == 30
 
 
+@pytest.mark.parametrize("block", [1024, 4])
+def test_anchors_that_stand_only_in_sources(spark, block):
+    turns = [("a", i, "assistant" if i % 2 else "user", "표로 정리해줘") for i in range(12)] + [("b", 0, "user", "3주차도 보여줘")]
+    turns = [t if t[:2] != ("a", 10) else ("a", 10, "user", "3주차도 보여줘") for t in turns]
+    df = spark.createDataFrame(turns, "conv_id string, turn long, role string, content string")
+    cited = [("a", 1, 0, "이영희 2월 1주차 회의록"), ("a", 3, 0, "홍길동의 5월 4주차"), ("a", 3, 1, "박민수 6월 주간보고"), ("a", 11, 0, "김철수 9월"), ("b", 4, 0, "김철수 9월")]
+    sources = spark.createDataFrame(cited, "conv_id string, turn long, position int, text string")
+    got = {(r.conv_id, r.turn): r.resolved for r in history.carry_anchors(df, block=block, sources=sources, last=2, frame=2).collect()}
+    # of the last two sources the older one names subject and month, the newer one the kind of document
+    assert got["a", 10].retrieval_query == "홍길동 5월 3주차 주간보고" and got["a", 10].scope_changed
+    assert not got["b", 0].scope_changed and not got["a", 8].scope_changed and len(got) == 7
+    now = {r.query_id: r.query for r in retrieve.asked_now(df, sources).collect()}
+    assert now == {"a": "이영희 2월 3주차 회의록", "b": "3주차도 보여줘"}
+
+
 def test_keyword_search_finds_dates_and_synonyms(spark):
     chunks = chunk_rows(spark, [
         {"chunk_id": "meeting", "page_id": "meeting", "title": "0526 주간회의", "breadcrumb": "기술연구소 > 26년 주간 기술회의 > 0526 주간회의", "page_content": "기술백서 리뷰"},
