@@ -8,10 +8,14 @@ chain of merges with rising ranks in which each right part begins with the left
 its length from the merge list by dynamic programming. A token that ends so many bytes before the end of the input can't
 change any more, is emitted, and what precedes it is forgotten: memory is constant, however long a word is.
 
-Texts are normalised and cut to words as the vocabulary file says (canonical composition, lower case by character,
-words of letters, single digits, runs of other signs; white space dropped). Short words are looked up in a table of
-bounded size that the transducer fills. The decoder takes ids one block at a time and turns bytes into text by a state
-machine that keeps an unfinished character.
+Texts are read in blocks, normalised and cut to words as the vocabulary file says (canonical composition, lower case by
+character, words of letters, single digits, runs of other signs; white space dropped). Blocks begin at characters that
+compose with nothing before them. What has no white space yet is held back; a word that outgrows ``LONG`` flows into the
+transducer while it is read. All words go through the transducer; a table of bounded size remembers what it gave for
+short ones. The decoder takes ids one block at a time, cuts their bytes to pieces of fixed size wherever they fall, and
+turns them into text by a state machine that keeps an unfinished character.
+
+Bounds: a text itself is one value of its row; beside it a few blocks are held. A run of combining marks stays in one block.
 
 Defined results: a null or empty text has no ids and decodes to an empty text. Special tokens in a text are taken as such.
 Repeated rows are encoded each. Other columns are ignored. Truncation and padding are not used.
@@ -25,8 +29,9 @@ import json
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import cache
 from hashlib import sha256
-from struct import pack
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +49,9 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 #: Symbols taken in between two looks for stable tokens; words in the table, and their longest.
 STEP, WORDS_KEPT, SHORT = 256, 400_000, 40
 _NONE = (1 << 60, 0)
-#: Ids decoded at once.
-DECODED = 1 << 16
+#: Characters read at once; the longest run without white space that is held back; ids and bytes given on at once.
+BLOCK, LONG, GIVEN = 1 << 16, 1 << 12, 1 << 14
+_LAST_BLANK = regex.compile(r"(?r)\s")
 
 
 def lookahead(merges: list[tuple[int, int, int]], length: dict[int, int]) -> int:
@@ -159,56 +165,108 @@ class WordBpe:
         self.merges = Merges([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs], length)
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
         self.token_bytes = {i: t.encode("utf-8") for i, t in self.tokens.items()}
-        self.library, self.byte_of = Tokenizer.from_file(path), symbols
-        self.late = self._late()
+        self._learn_characters(Tokenizer.from_file(path))
         self.table = _Table(self)
 
+    def _learn_characters(self, library: Tokenizer) -> None:
+        """Where character tables of different age disagree, the library's count: letters and digits that are other signs
+        to it, and those whose lower case is another there."""
+        known = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, range(0x110000))))
+        pieces = library.pre_tokenizer.pre_tokenize_str(" ".join("!" + c for c in known))
+        signs = {known[start // 3] for _, (start, end) in pieces if end - start == 2}
+        alone = "!".join(known)
+        theirs, ours = library.normalizer.normalize_str(alone).split("!"), normalised(alone).split("!")
+        self.lower = {c: a for c, a, b in zip(known, theirs, ours, strict=True) if a != b}
+        late = "".join(map(regex.escape, sorted(signs)))
+        self.late = frozenset(signs | {*self.lower})
+        none = f"(?![{late}])" if signs else ""
+        sign = rf"(?:[^\s\p{{L}}\p{{N}}]|[{late}])" if signs else r"[^\s\p{L}\p{N}]"
+        letter = rf"(?:{none}\p{{L}})"
+        self.exact = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{none}\p{{N}}|{sign}+")
+        self.runs = {True: (regex.compile(r"\p{L}*+"), regex.compile(f"{letter}*+")),
+                     False: (regex.compile(r"[^\s\p{L}\p{N}]*+"), regex.compile(f"{sign}*+"))}
+
     def word_ids(self, word: str) -> Iterator[int]:
         symbol = self.symbol
         return self.merges.stream((symbol[b] for b in word.encode("utf-8")), self.at_end.__getitem__)
 
     def ids(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-        out = []
-        for part in parts:
-            if part in self.special:
-                out.append(packed([self.special[part]]))
-            elif part:
-                out += map(self.table.__getitem__, self.words(part))
-        return b"".join(out)
-
-    def words(self, text: str) -> list[str]:
-        """The words of a text. Character tables of different age disagree on letters added lately; a text that holds one
-        is cut by the library's own table."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            if self.late.search(text):
-                cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-                return [bytes(map(self.byte_of.__getitem__, word)).decode("utf-8") for word, _ in cut]
-        return WORDS.findall(normalised(text))
-
-    def _late(self) -> regex.Pattern:
-        """Letters and digits that are none to the library, which leaves them in one piece with a sign before them, and
-        those whose lower case is another there."""
-        known = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, range(0x110000))))
-        pieces = self.library.pre_tokenizer.pre_tokenize_str(" ".join("!" + c for c in known))
-        late = {known[start // 3] for _, (start, end) in pieces if end - start == 2}
-        alone = "!".join(known)
-        theirs, ours = self.library.normalizer.normalize_str(alone).split("!"), normalised(alone).split("!")
-        late |= {c for c, a, b in zip(known, theirs, ours, strict=True) if a != b}
-        return regex.compile(f"[{''.join(map(regex.escape, sorted(late)))}]" if late else r"(?!)")
-
-    def decoded(self, ids: bytes) -> Iterator[str]:
+        return b"".join(self.id_blocks(text))
+
+    def id_blocks(self, text: str | None) -> Iterator[bytes]:
+        """The same, block by block."""
+        at = 0
+        for special in self.cut.finditer(text or "") if self.cut else ():
+            yield from self._part(text, at, special.start())
+            yield packed([self.special[special.group()]])
+            at = special.end()
+        yield from self._part(text or "", at, len(text or ""))
+
+    def _blocks(self, text: str, at: int, end: int) -> Iterator[str]:
+        """Normalised blocks of a part of a text."""
+        while at < end:
+            cut = min(at + BLOCK, end)
+            while cut < end and text[cut] >= "\u0300" and text[cut] in _composing():
+                cut += 1
+            block = text[at:cut]
+            if not self.late.isdisjoint(block):
+                block = "".join(self.lower.get(c) or normalised(c) for c in unicodedata.normalize("NFC", block))
+            else:
+                block = normalised(block)
+            yield block
+            at = cut
+
+    def _part(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """Ids of a part of a text without special tokens."""
+        blocks, held, of = self._blocks(text, at, end), "", self.table.__getitem__
+        for block in blocks:
+            block = held + block
+            blank = _LAST_BLANK.search(block)
+            known, held = (block[:blank.start()], block[blank.end():]) if blank else ("", block)
+            if known:
+                yield b"".join(map(of, self._cut(known).findall(known)))
+            if len(held) > LONG:
+                found = list(self._cut(held).finditer(held))
+                last = found[-1]
+                if len(last[0]) > LONG:
+                    yield b"".join(of(m[0]) for m in found[:-1])
+                    rest: list[str] = []
+                    ids = self.merges.stream(self._run(last[0], blocks, rest), self.at_end.__getitem__)
+                    while some := packed(list(islice(ids, GIVEN))):
+                        yield some
+                    held = rest[0] if rest else ""
+                else:
+                    # what comes next can change only words that end in the last two characters
+                    done = [m for m in found if m.end() < len(held) - 2]
+                    yield b"".join(of(m[0]) for m in done)
+                    held = held[done[-1].end():] if done else held
+        yield b"".join(map(of, self._cut(held).findall(held)))
+
+    def _run(self, head: str, blocks: Iterator[str], rest: list[str]) -> Iterator[int]:
+        """Symbols of a long word that begins with ``head``, read from the blocks to come; what follows it goes to ``rest``."""
+        plain, exact = self.runs[bool(self.runs[True][1].match(head[0])[0])]
+        yield from map(self.symbol.__getitem__, head.encode("utf-8"))
+        for block in blocks:
+            end = (plain if self.late.isdisjoint(block) else exact).match(block).end()
+            yield from map(self.symbol.__getitem__, block[:end].encode("utf-8"))
+            if end < len(block):
+                rest.append(block[end:])
+                return
+
+    def _cut(self, block: str) -> regex.Pattern:
+        return WORDS if block.isascii() or self.late.isdisjoint(block) else self.exact
+
+    def decoded(self, ids: bytes | Iterable[bytes]) -> Iterator[str]:
         """The text of ids, block by block, as the tokenizers library writes it where a file names no decoder."""
-        machine, lead = codecs.getincrementaldecoder("utf-8")("replace"), b""
-        numbers, of = np.frombuffer(ids, "<u4"), self.token_bytes
-        for at in range(0, len(numbers), DECODED):
-            yield machine.decode(lead + b" ".join(map(of.__getitem__, numbers[at:at + DECODED].tolist())))
-            lead = b" "
+        machine, lead, of = codecs.getincrementaldecoder("utf-8")("replace"), b"", self.token_bytes
+        for block in [ids] if isinstance(ids, bytes) else ids:
+            numbers = np.frombuffer(block, "<u4")
+            for at in range(0, len(numbers), GIVEN):
+                read = lead + b" ".join(map(of.__getitem__, numbers[at:at + GIVEN].tolist()))
+                lead = b" "
+                for i in range(0, len(read), GIVEN):
+                    yield machine.decode(read[i:i + GIVEN])
         yield machine.decode(b"", True)
 
     def plain(self, ids: bytes) -> Iterator[str]:
@@ -226,25 +284,36 @@ class WordBpe:
 
 
 class _Table(dict):
-    """Packed ids of short words, emptied when full."""
+    """What the transducer gave for short words, packed; emptied when full."""
 
     def __init__(self, bpe: WordBpe):
         super().__init__()
         self.bpe = bpe
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > SHORT:
-            return packed(list(self.bpe.word_ids(word)))
-        # what fits the transducer's window is settled by its end
-        symbols = [*map(self.bpe.symbol.__getitem__, word.encode("utf-8"))]
-        symbols[-1] = self.bpe.at_end[symbols[-1]]
-        ids = self.bpe.merges.merged(symbols)
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = out = pack(f"<{len(ids)}I", *ids)
+        out = packed(list(self.bpe.word_ids(word)))
+        if len(word) <= SHORT:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = out
         return out
 
 
+@cache
+def _composing() -> frozenset[str]:
+    """Characters that can change together with what stands before them when a text is composed."""
+    marks, second = set(), {*map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))}
+    for c in map(chr, range(0x300, 0x110000)):
+        parts = unicodedata.decomposition(c)
+        if unicodedata.combining(c):
+            marks.add(c)
+        if parts and parts[0] != "<" and " " in parts:
+            second.add(chr(int(parts.split()[1], 16)))
+    joins = marks | second
+    begins = {c for c in map(chr, range(0x300, 0x110000)) if unicodedata.decomposition(c) and unicodedata.normalize("NFD", c)[0] in joins}
+    return frozenset(joins | begins)
+
+
 def normalised(text: str) -> str:
     """Composed and in lower case, each character by itself."""
     text = unicodedata.normalize("NFC", text)
@@ -269,10 +338,19 @@ def _over(docs: DataFrame, key: str, columns: list[tuple], of, vocab: str) -> Da
 
 
 def _digests(bpe: WordBpe, text: str | None) -> tuple[int, str, str]:
-    ids, read = bpe.ids(text), sha256()
-    for part in bpe.decoded(ids):
+    """Number and digest of the ids of a text and digest of what they decode to, all fed block by block."""
+    seen, read, n = sha256(), sha256(), 0
+
+    def ids() -> Iterator[bytes]:
+        nonlocal n
+        for block in bpe.id_blocks(text):
+            seen.update(block)
+            n += len(block) // 4
+            yield block
+
+    for part in bpe.decoded(ids()):
         read.update(part.encode("utf-8"))
-    return len(ids) // 4, sha256(ids).hexdigest(), read.hexdigest()
+    return n, seen.hexdigest(), read.hexdigest()
 
 
 def op9_bpe_transducer(spark, sf_dir: str) -> DataFrame:

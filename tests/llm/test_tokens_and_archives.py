@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -119,12 +120,48 @@ def test_word_ids_equal_the_library(spark):
     assert bpe.ids(None) == b""
 
 
-def test_decoder_blocks(monkeypatch):
+def test_decoder_blocks_cut_characters(monkeypatch):
     bpe = transducer.WordBpe(WORDS)
     ids = bpe.ids("some words é to be decoded 𝄞 in small blocks")
     whole = "".join(bpe.decoded(ids))
-    monkeypatch.setattr(transducer, "DECODED", 2)
-    assert "".join(bpe.decoded(ids)) == whole
+    monkeypatch.setattr(transducer, "GIVEN", 1)
+    parts = list(bpe.decoded(ids))
+    assert "".join(parts) == whole and "" in parts[:-1]
+
+
+@pytest.mark.parametrize(("block", "long"), [(3, 4), (7, 3), (16, 5)])
+def test_blocks_of_any_size_equal_the_library(monkeypatch, block, long):
+    library, bpe, rng = Tokenizer.from_file(WORDS), transducer.WordBpe(WORDS), random.Random(block)
+    for name, value in (("BLOCK", block), ("LONG", long), ("GIVEN", 3)):
+        monkeypatch.setattr(transducer, name, value)
+    signs = ["'", "s", "re", "v", "l", "ll", "1", "½", " ", "\n", "\x85", "!", "é", "e\u0301", "\u0301", "Σ", "İ", "가", "\u1100", "\u1161", "\u11a8",
+             "\u09c7", "\u09be", "<|endoftext|>", "𝄞", "\U00010d50", "\ua7ce", "\u1c89"]
+    for _ in range(1000):
+        text = "".join(rng.choice(signs) * rng.choice((1, 1, 1, 9)) for _ in range(rng.randrange(1, 25)))
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(bpe.ids(text), "<u4").tolist() == expected, ascii(text)
+        assert "".join(bpe.decoded(bpe.id_blocks(text))) == library.decode(expected, skip_special_tokens=False)
+
+
+def test_every_word_goes_through_the_transducer(monkeypatch):
+    bpe, streamed = transducer.WordBpe(WORDS), []
+    stream = bpe.merges.stream
+    monkeypatch.setattr(bpe.merges, "stream", lambda symbols, last: streamed.append(1) or stream(symbols, last))
+    bpe.ids("one two three, one")
+    assert len(streamed) == 4
+
+
+@pytest.mark.parametrize("unit", ["thequickbrown", "some words "])
+def test_memory_of_a_very_long_text(unit):
+    bpe, peaks = transducer.WordBpe(WORDS), []
+    transducer._digests(bpe, unit * 20_000)
+    for size in (250_000, 1_000_000):
+        text = unit * (size // len(unit))
+        tracemalloc.start()
+        assert transducer._digests(bpe, text)[0] > size // 20
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]
 
 
 def _random_merges(rng, letters, n):
