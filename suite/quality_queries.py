@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusloom import fixed_values as fv
 from corpusloom.functions import followup
 from corpusloom.operators import context, evaluation, history, query_log
 from corpusloom.operators.ranking import numbered
@@ -10,7 +11,7 @@ from corpusloom.streaming import log_statistics
 from suite import domain as d
 from suite import sql as s
 from suite.registry import query
-from suite.retrieval_queries import packed
+from suite.retrieval_queries import packed, ranked_lengths
 from suite.text_queries import format_sql
 
 RANKING = {"case_id": "CAST(user_id AS STRING)", "page": "concat('p', CAST(event_id % 53 AS STRING))", "event_id": "event_id"}  # BOTH
@@ -185,12 +186,12 @@ _STATS = """SELECT query_id, budget, count(*) AS prompt_chunk_count, CAST(sum(le
 
 @query("e16_prompt_statistics", s.build(_STATS + " WHERE budget = 12000 GROUP BY 1, 2", "packed_"))
 def prompt_statistics(spark, sf):
-    return evaluation.prompt_statistics(packed(spark, sf).filter("budget = 12000"), ["query_id", "budget"])
+    return evaluation.prompt_statistics(packed(spark, sf, [12000]), ["query_id", "budget"])
 
 
 @query("e17_budget_sweep", s.build(_STATS + " GROUP BY 1, 2", "packed_"))
 def budget_sweep(spark, sf):
-    return evaluation.prompt_statistics(packed(spark, sf), ["query_id", "budget"])
+    return evaluation.prompt_statistics(packed(spark, sf, fv.CONTEXT_BUDGETS), ["query_id", "budget"])
 
 
 @query("e17_chunk_sweep", s.build("""
@@ -202,9 +203,8 @@ SELECT query_id, chunk_count, count(*) AS prompt_chunk_count, sum(length(packed)
        count(DISTINCT page_id) AS prompt_unique_pages FROM p GROUP BY 1, 2""", "qdocs_"))
 def chunk_sweep(spark, sf):
     """Prompts of the first 5, 10, 20 and 40 chunks under a budget that they seldom reach."""
-    from suite.retrieval_queries import _query_docs
-    docs = _query_docs(spark, sf).select("query_id", "rank", "page_id", "title", "url", "page_content")
-    return evaluation.prompt_statistics(context.pack_first(docs, [5, 10, 20, 40], 50_000), ["query_id", "chunk_count"]).drop("prompt_context_est_tokens")
+    prompts = context.pack_first(ranked_lengths(spark, sf), d.chunks(spark, sf), [5, 10, 20, 40], 50_000)
+    return evaluation.prompt_statistics(prompts, ["query_id", "chunk_count"]).drop("prompt_context_est_tokens")
 
 
 RESULT = {  # BOTH

@@ -6,7 +6,7 @@ from corpusloom import fixed_values as fv
 from corpusloom.functions import korean, splitter
 from corpusloom.operators import (context, fusion, issue_summary, issues, keyword, mention_context, scope, status_search,
                                   vector)
-from corpusloom.operators.ranking import numbered
+from corpusloom.operators.ranking import numbered, placed
 from corpusloom.plans import retrieve
 from corpusloom.storage import stage
 from suite import domain as d
@@ -660,18 +660,24 @@ s.cte("packed_", """
     FROM qdocs_, (SELECT unnest([4000, 8000, 12000, 18000, 32768]) AS budget)) WHERE used < budget""", "qdocs_")
 
 
-def packed(spark, sf):
-    """The documents of every query under each budget; a document is only copied for budgets it can still reach."""
-    budgets = F.explode(F.array(*[F.lit(b) for b in fv.CONTEXT_BUDGETS])).alias("budget")
-    docs = _query_docs(spark, sf).select("query_id", "rank", "page_id", "chunk_id", "title", "url", "page_content", budgets)
-    return context.pack(docs, F.col("budget"), ["query_id", "budget"])
+def ranked_lengths(spark, sf):
+    """The documents of every query in order, with lengths instead of texts."""
+    rows = d.chunks(spark, sf).select(
+        (F.col("page_id").cast("long") % 40).cast("string").alias("query_id"), "page_id", "chunk_id", "chunk_index", "title", "url",
+        F.length("page_content").alias("n_chars"))
+    return placed(rows, ["query_id"], [F.col("page_id").cast("long"), F.col("chunk_index")], "rank").drop("chunk_index")
+
+
+def packed(spark, sf, budgets):
+    """The documents of every query under each budget."""
+    return context.pack_budgets(ranked_lengths(spark, sf), d.chunks(spark, sf), budgets)
 
 
 @query("r32_packed_context", s.build("""
 SELECT query_id, count(*) AS chunks, md5(string_agg(packed, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context
 FROM packed_ WHERE budget = 12000 GROUP BY 1""", "packed_"))
 def packed_context(spark, sf):
-    rows = context.context_text(context.pack(_query_docs(spark, sf), F.lit(12000)))
+    rows = context.context_text(context.pack(ranked_lengths(spark, sf), d.chunks(spark, sf), F.lit(12000)))
     return rows.select("query_id", "chunks", F.md5("context").alias("context"))
 
 
@@ -705,9 +711,9 @@ def assembled(spark, sf):
     docs = stage(context.expand_siblings(hits, chunks, k=24).join(chunks, "chunk_id"), "expanded")
     routes = queries.withColumn("route", F.lit("exact_lookup")).withColumns(
         {"long_doc_neighbor_window": F.lit(4), "long_doc_detail_chunks": F.lit(48)})
-    texts = docs.select("query_id", "chunk_id", "page_id", "page_content")
-    chosen = context.select_long_documents(docs, routes).join(texts, ["query_id", "chunk_id"])
-    return context.context_text(context.pack(chosen, F.lit(18000)))
+    lengths = docs.select("query_id", "chunk_id", F.length("page_content").alias("n_chars"))
+    chosen = stage(context.select_long_documents(docs, routes).join(lengths, ["query_id", "chunk_id"]), "chosen")
+    return context.context_text(context.pack(chosen, chunks, F.lit(18000)))
 
 
 s.cte("lists_", """

@@ -244,3 +244,31 @@ def test_stream_grows_with_new_files(spark, tmp_path):
         log_statistics.run_once(log_statistics.daily_routes(records), table, mark)
     got = {(str(r.day), r.route): (r.records, r.avg_seconds) for r in spark.read.parquet(table).collect()}
     assert got == {("2026-05-01", "a"): (2, 2.0), ("2026-05-01", "b"): (1, 3.0), ("2026-05-02", "a"): (1, 5.0)}
+
+
+def test_packing_by_blocks_equals_a_running_sum(spark):
+    rng = random.Random(5)
+    rows = [(q, rank, f"{q}:{rank}", None if rng.random() < 0.1 else "x" * rng.randrange(30)) for q in ("a", "b", "c") for rank in range(1, 40 if q < "c" else 2)]
+    rng.shuffle(rows)
+    texts = spark.createDataFrame(rows, "query_id string, rank int, chunk_id string, page_content string").repartition(3)
+    docs = texts.withColumn("n_chars", F.length("page_content")).drop("page_content")
+
+    def expected(budget, most=1000):
+        out, used = set(), {}
+        for q, rank, _, text in sorted(rows, key=lambda r: r[:2]):
+            if used.get(q, 0) < budget and rank <= most:
+                out.add((q, rank, None if text is None else text[:budget - used.get(q, 0)]))
+            used[q] = used.get(q, 0) + len(text or "")
+        return out
+
+    def found(df, *more):
+        return {tuple(r) for r in df.select(*more, "query_id", "rank", "packed").collect()}
+
+    for block in (1, 3, 256):
+        kept = context.within_budget(docs, F.lit(100), ["query_id"], block)
+        assert {(r.query_id, r.rank) for r in kept.collect()} == {e[:2] for e in expected(100)}
+    assert found(context.pack(docs, texts, F.lit(100))) == expected(100)
+    assert found(context.pack(docs.drop("chunk_id"), texts, F.lit(0), ["query_id", "rank"])) == set()
+    assert found(context.pack(docs.drop("chunk_id"), texts, F.lit(77), ["query_id", "rank"])) == expected(77)
+    assert found(context.pack_budgets(docs, texts, [10, 50, 400]), "budget") == {(b, *e) for b in (10, 50, 400) for e in expected(b)}
+    assert found(context.pack_first(docs, texts, [2, 7], 60), "chunk_count") == {(n, *e) for n in (2, 7) for e in expected(60, n)}
