@@ -315,6 +315,41 @@ def oversized_tables(spark, sf):
         F.sum(F.size(lines) - 1).alias("data_rows"), F.max(F.length("piece") <= 6000).alias("bounded"))
 
 
+@query("i10_split_pieces", """
+WITH g AS (SELECT l_orderkey, count(*) AS n, string_agg('| ' || l_linenumber || ' | ' || l_returnflag || ' | p|' || l_partkey || ' |', chr(10)
+           ORDER BY l_linenumber, l_partkey, l_returnflag) AS body FROM lineitem GROUP BY 1)
+SELECT l_orderkey, piece_no, CASE piece_no WHEN 1 THEN 'before' WHEN 3 THEN 'after' ELSE concat_ws(chr(10), '[Table start]', 'Rows: ' || n,
+  'Columns: Column 1, Column 2, Column 3', '', '| Column 1 | Column 2 | Column 3 |', '| --- | --- | --- |', body, '[Table end]') END AS text
+FROM g, (SELECT unnest([1, 2, 3]) AS piece_no)""")
+def split_pieces(spark, sf):
+    """The pieces themselves: text before a table, the table untouched, text after it."""
+    text_ = F.concat(F.lit("before\n\n"), html.render_grid(F.col("cells"), F.lit(False)), F.lit("\n\nafter"))
+    rows = _order_cells(spark, sf).select("l_orderkey", F.posexplode(splitter.table_aware_chunks(text_)).alias("n", "text"))
+    return rows.select("l_orderkey", (F.col("n") + 1).alias("piece_no"), "text")
+
+
+@query("i11_table_pieces", """
+WITH RECURSIVE r AS (
+  SELECT l_suppkey || '/' || (l_partkey // 100) AS page, [CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), l_returnflag] AS cells
+  FROM lineitem),
+o AS (SELECT page, '| ' || array_to_string(cells, ' | ') || ' |' AS line, count(*) OVER (PARTITION BY page) AS n,
+        row_number() OVER (PARTITION BY page ORDER BY cells[1], cells[2], cells[3], cells[4]) AS i FROM r),
+h AS (SELECT *, concat_ws(chr(10), '[Table start]', 'Rows: ' || n, 'Columns: Column 1, Column 2, Column 3, Column 4', '',
+        '| Column 1 | Column 2 | Column 3 | Column 4 |', '| --- | --- | --- | --- |', '') AS head,
+        CAST(sum(length(line) + 1) OVER (PARTITION BY page ORDER BY i) AS BIGINT) AS upto FROM o),
+x AS (SELECT *, max(i) OVER (PARTITION BY page ORDER BY upto RANGE BETWEEN CURRENT ROW AND (6000 - length(head) - 11 - length(line) - 1) FOLLOWING) AS last_row FROM h),
+p AS (SELECT page, 1 AS piece_no, i, last_row FROM x WHERE i = 1
+      UNION ALL SELECT x.page, p.piece_no + 1, x.i, x.last_row FROM p JOIN x ON x.page = p.page AND x.i = p.last_row + 1)
+SELECT p.page, p.piece_no, count(*) AS data_rows, md5(any_value(head) || string_agg(line || chr(10), '' ORDER BY x.i) || '[Table end]') AS text
+FROM p JOIN x ON x.page = p.page AND x.i BETWEEN p.i AND p.last_row GROUP BY 1, 2""")
+def table_pieces(spark, sf):
+    """Every piece of an oversized table by content: repeated header, its own rows, end mark."""
+    pieces = F.posexplode(splitter.table_aware_chunks(html.render_grid(F.col("cells"), F.lit(False)))).alias("n", "piece")
+    lines = F.filter(F.split("piece", "\n"), lambda x: F.startswith(x, F.lit("| ")) & ~F.startswith(x, F.lit("| ---")))
+    return _supplier_cells(spark, sf).select("page", pieces).select(
+        "page", (F.col("n") + 1).alias("piece_no"), (F.size(lines) - 1).alias("data_rows"), F.md5("piece").alias("text"))
+
+
 @query("i13_table_repair", "WITH one AS (SELECT 1)" + _GRID.replace("AS text FROM r", "AS block FROM r").replace(
     "SELECT l_orderkey, concat_ws", ", g AS (SELECT l_orderkey, concat_ws") + """)
 SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 'Intro ' || block ELSE 'Intro' || chr(10) || chr(10) || block END AS text FROM g""")
