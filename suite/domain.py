@@ -209,6 +209,19 @@ def issues(spark, sf):
     return pick(rows, {**ISSUE, "fields": f"array({fields})"})
 
 
+# --- notes of a customer's orders, one paragraph each -----------------------------------------------------------
+
+# lengths from 20 to 719 characters, so pieces end after one to many notes
+NOTE = "rpad(concat('order ', CAST(o_orderkey AS STRING), ' '), CAST(20 + o_orderkey * 7 % 700 AS INT), 'x')"  # BOTH
+
+
+def order_notes(spark, sf):
+    """(page, notes): the notes of a customer in the order of their numbers."""
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.expr(NOTE).alias("note"))
+    notes = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "note"))), lambda n: n["note"])
+    return rows.groupBy(F.col("o_custkey").alias("page")).agg(notes.alias("notes"))
+
+
 # --- dated Korean pages from orders ---------------------------------------------------------------------------------
 
 DATED_PAGE = {  # BOTH

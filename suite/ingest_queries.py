@@ -678,6 +678,50 @@ def ingest_issues(spark, sf):
     return rows.select("chunk_id", F.col("space").cast("string").alias("space"), "ingest_run_id", "issue_status_category", "due_date", "page_content")
 
 
+@query("plan_ingest_pages", s.build(f"""
+SELECT c_custkey || ':' || chunk_index AS chunk_id, c_mktsegment AS space, 'run2' AS ingest_run_id, CAST(chunk_index AS INT) AS chunk_index, c_name AS title, crumb AS breadcrumb,
+  CASE WHEN c_custkey % 3 = 0 THEN '{d.SITE}/wiki/spaces/' || c_mktsegment || '/pages/' || c_custkey ELSE '{d.BASE}/pages/viewpage.action?pageId=' || c_custkey END AS url,
+  md5('Content type: page' || chr(10) || 'Space: Space ' || c_mktsegment || ' (' || c_mktsegment || ')' || chr(10) || 'Document location: ' || crumb || chr(10) || chr(10) ||
+    'Chunk: ' || (chunk_index + 1) || '/' || chunk_count || chr(10) || chr(10) || 'Content:' || chr(10) || piece) AS page_content
+FROM note_chunks_""", "note_chunks_"))
+def ingest_pages(spark, sf):
+    """Landed pages of every space to the published chunk table: notes of several chunks, a link named after its issue, a table.
+
+    Customers without orders are pages without a body; they give no chunk.
+    """
+    notes = d.order_notes(spark, sf).withColumnRenamed("page", "c_custkey")
+    rows = d.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.max("o_orderkey").alias("last_order"), F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("cells"))
+    pages = d.table(spark, sf, "customer").join(_nation_path(spark, sf), F.col("c_nationkey") == F.col("n_nationkey")).join(
+        notes, "c_custkey", "left").join(rows, "c_custkey", "left")
+    each = lambda c, use: F.array_join(F.transform(c, use), "")
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    issue = F.concat_ws("-", "c_mktsegment", F.col("last_order").cast("string"))
+    body = F.concat(
+        F.lit("<h2>Notes</h2>"), each("notes", lambda n: tag("p", n)), F.lit('<p>See <a class="jira-issue" data-issue-key="'), issue, F.lit('">'), issue,
+        F.lit("</a></p><table><tr><th>no</th><th>flag</th></tr>"),
+        each("cells", lambda c: tag("tr", F.concat(tag("td", c["o_orderkey"].cast("string")), tag("td", c["o_orderstatus"])))), F.lit("</table>"))
+    page_id, viewed = F.col("c_custkey").cast("string"), F.col("c_custkey") % 2 == 0
+    value = lambda c: F.struct(c.alias("value"))
+    raw = pages.select(
+        page_id.alias("id"), F.col("c_name").alias("title"), F.lit("page").alias("type"), "ancestors",
+        F.struct(value(F.when(viewed, body).otherwise("")).alias("export_view"), value(F.when(~viewed, body)).alias("storage")).alias("body"),
+        F.struct(F.when(F.col("c_custkey") % 3 == 0, F.concat_ws("/", F.lit("/wiki/spaces"), "c_mktsegment", F.lit("pages"), page_id)).alias("webui")).alias("_links"),
+        F.col("c_mktsegment").alias("space"))
+    folder = work_dir(spark)
+    raw.write.partitionBy("space").json(f"{folder}/landed")
+    known = issues.overview(d.issues(spark, sf))
+    projects = d.issues(spark, sf).select(F.col("project").alias("key"), F.col("project_name").alias("name")).distinct()
+    spaces = sorted(r.c_mktsegment for r in d.table(spark, sf, "customer").select("c_mktsegment").distinct().collect())  # the five segments
+    chunks = reduce(DataFrame.unionByName, [
+        ingest.page_chunks(spark, f"{folder}/landed/space={x}", ingest.Place(x, f"Space {x}", d.SITE, d.BASE), known, projects) for x in spaces])
+    sources = raw.select(F.lit(fv.WIKI).alias("source_type"), "space").distinct()
+    ingest.publish(chunks, f"{folder}/chunks", "run1", sources)
+    ingest.publish(chunks, f"{folder}/chunks", "run2", sources)
+    rows = snapshot.read_table(spark, f"{folder}/chunks")
+    return rows.select("chunk_id", F.col("space").cast("string").alias("space"), "ingest_run_id", "chunk_index", "title", "breadcrumb", "url", F.md5("page_content").alias("page_content"))
+
+
 @query("j8_project_summary", s.build(
     "SELECT project, part_no, issues, todo, in_progress, done, md5(text) AS text FROM summary_", "summary_"))
 def project_summary(spark, sf):

@@ -582,16 +582,20 @@ def siblings(spark, sf):
     return context.expand_siblings(d.pick(d.table(spark, sf, "documents"), HIT), d.chunks(spark, sf), k=4)
 
 
+def _own_query(spark, sf):
+    """The query that looks at a page: pages are dealt over all benchmark queries, so keys grow with that table."""
+    return (F.col("page_id").cast("long") % d.table(spark, sf, "benchmark").count()).cast("string")
+
+
 def _query_docs(spark, sf):
     """Every query looks at the documents of its number, all chunks in order."""
-    own = F.col("page_id").cast("long") % 40
-    rows = d.chunks(spark, sf).withColumn("query_id", own.cast("string"))
+    rows = d.chunks(spark, sf).withColumn("query_id", _own_query(spark, sf))
     return numbered(rows, ["query_id"], [F.col("page_id").cast("long"), F.col("chunk_index")])
 
 
 s.cte("qdocs_", """
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CAST(page_id AS BIGINT), chunk_index) AS rank
-  FROM (SELECT *, CAST(CAST(page_id AS BIGINT) % 40 AS VARCHAR) AS query_id FROM chunks_)""", "chunks_")
+  FROM (SELECT *, CAST(CAST(page_id AS BIGINT) % (SELECT count(*) FROM benchmark) AS VARCHAR) AS query_id FROM chunks_)""", "chunks_")
 s.cte("lscores_", """
   SELECT c.query_id, c.page_id AS page_key, c.chunk_id, c.chunk_index, min(c.rank) AS rank,
     count(*) FILTER (contains(lower(page_content || ' ' || title || ' ' || breadcrumb), term)) AS page_score,
@@ -663,7 +667,7 @@ s.cte("packed_", """
 def ranked_lengths(spark, sf):
     """The documents of every query in order, with lengths instead of texts."""
     rows = d.chunks(spark, sf).select(
-        (F.col("page_id").cast("long") % 40).cast("string").alias("query_id"), "page_id", "chunk_id", "chunk_index", "title", "url",
+        _own_query(spark, sf).alias("query_id"), "page_id", "chunk_id", "chunk_index", "title", "url",
         F.length("page_content").alias("n_chars"))
     return placed(rows, ["query_id"], [F.col("page_id").cast("long"), F.col("chunk_index")], "rank").drop("chunk_index")
 

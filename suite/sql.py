@@ -3,10 +3,12 @@
 from suite import domain as d
 
 CTES = {}
+RECURSIVE = set()
 
 
-def cte(name, body, *needs):
+def cte(name, body, *needs, recursive=False):
     CTES[name] = (needs, body)
+    RECURSIVE.update([name] if recursive else [])
 
 
 def build(select: str, *needs: str) -> str:
@@ -22,7 +24,8 @@ def build(select: str, *needs: str) -> str:
     for name in needs:
         visit(name)
     parts = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
-    return f"WITH {parts}\n{select}" if order else select
+    with_ = "WITH RECURSIVE" if RECURSIVE.intersection(order) else "WITH"
+    return f"{with_} {parts}\n{select}" if order else select
 
 
 NORM = "lower(regexp_replace(coalesce({c}, ''), '[^0-9a-zA-Z가-힣]+', '', 'g'))"
@@ -154,3 +157,54 @@ cte("ranked_", f"""
 cte("ranked_queries_", f"SELECT DISTINCT {d.both(d.RANKED_QUERY)} FROM events")
 cte("ranked_terms_", "SELECT query_id, unnest(regexp_extract_all(query, '[a-z]+')) AS term FROM ranked_queries_", "ranked_queries_")
 cte("issue_questions_", f"SELECT DISTINCT {d.both(d.ISSUE_QUESTION)} FROM orders JOIN customer ON o_custkey = c_custkey")
+
+
+# --- recursive splitting of paragraphs that are shorter than a piece -----------------------------------------------
+
+def paragraph_pieces(name, source, size=800, overlap=150):
+    """``name`` (page, chunk_index, piece): pieces of ``source`` (page, i, part), whose parts follow each other.
+
+    A piece takes parts up to the size; the next one begins with the parts at its end that stay inside the overlap and leave
+    room for the part that did not fit.
+    """
+    cte(f"{name}upto_", f"""
+  SELECT page, i, part, length(part) AS n, CAST(sum(length(part)) OVER (PARTITION BY page ORDER BY i) AS BIGINT) AS upto,
+    coalesce(lead(length(part)) OVER (PARTITION BY page ORDER BY i), 0) AS following FROM {source}""", source)
+    cte(f"{name}reach_", f"""
+  SELECT *, max(i) OVER (PARTITION BY page ORDER BY upto RANGE BETWEEN CURRENT ROW AND ({size} - n) FOLLOWING) AS last_part,
+    1 + min(i) OVER (PARTITION BY page ORDER BY upto RANGE BETWEEN least({overlap}, {size} - following) PRECEDING AND CURRENT ROW) AS next_part
+  FROM {name}upto_""", f"{name}upto_")
+    cte(f"{name}walk_", f"""
+  SELECT page, 0 AS chunk_index, i, last_part FROM {name}reach_ WHERE i = 1
+  UNION ALL SELECT w.page, w.chunk_index + 1, b.i, b.last_part FROM {name}walk_ w JOIN {name}reach_ e ON e.page = w.page AND e.i = w.last_part
+  JOIN {name}reach_ b ON b.page = w.page AND b.i = e.next_part WHERE EXISTS (SELECT 1 FROM {name}reach_ z WHERE z.page = w.page AND z.i = w.last_part + 1)""",
+        f"{name}reach_", recursive=True)
+    cte(name, f"""
+  SELECT w.page, w.chunk_index, regexp_replace(string_agg(r.part, '' ORDER BY r.i), '^\\s+|\\s+$', '', 'g') AS piece
+  FROM {name}walk_ w JOIN {name}reach_ r ON r.page = w.page AND r.i BETWEEN w.i AND w.last_part GROUP BY 1, 2""", f"{name}walk_")
+
+
+cte("order_parts_", f"""
+  SELECT o_custkey AS page, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i,
+    CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 THEN chr(10) || chr(10) ELSE '' END || {d.NOTE} AS part FROM orders""")
+paragraph_pieces("order_pieces_", "order_parts_")
+
+cte("note_pages_", f"""
+  SELECT c_custkey, c_name, c_mktsegment, r_name || ' > ' || n_name || ' > ' || c_name AS crumb, count(*) AS n,
+    list({d.NOTE} ORDER BY o_orderkey) AS notes, max(o_orderkey) AS last_order,
+    string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey) AS grid
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
+cte("note_lines_", """
+  SELECT p.c_custkey, list_concat(['# ' || c_name, '', '## Notes'], notes, ['See  [Related Jira issue: ' || key || ': ' || summary || ' (' || status_name || '); ' ||
+    array_to_string(list_transform(fields, lambda f: f.name || ': ' || f.text), '; ') || ']']) AS lines
+  FROM note_pages_ p JOIN issues_ ON key = c_mktsegment || '-' || last_order""", "note_pages_", "issues_")
+cte("note_parts_", """
+  SELECT c_custkey AS page, i, CASE WHEN i > 1 THEN chr(10) || chr(10) ELSE '' END || lines[i] AS part
+  FROM (SELECT c_custkey, lines, unnest(range(1, len(lines) + 1)) AS i FROM note_lines_)""", "note_lines_")
+paragraph_pieces("note_pieces_", "note_parts_")
+cte("note_chunks_", f"""
+  SELECT p.*, chunk_index, count(*) OVER (PARTITION BY page) AS chunk_count, piece
+  FROM (SELECT page, chunk_index, piece FROM note_pieces_
+        UNION ALL SELECT c_custkey, (SELECT max(chunk_index) + 1 FROM note_pieces_ WHERE page = c_custkey), concat_ws(chr(10), '[Table start]', 'Rows: ' || n,
+          'Columns: no, flag', '', '| no | flag |', '| --- | --- |', grid, '[Table end]') FROM note_pages_)
+  JOIN note_pages_ p ON p.c_custkey = page""", "note_pieces_", "note_pages_")

@@ -77,6 +77,15 @@ def recursive_chunks(spark, sf):
     return rows.select("doc_id", "chunk_index", F.length("piece").alias("chars"), F.md5("piece").alias("piece"))
 
 
+@query("i12_paragraph_chunks", s.build("""
+SELECT page, chunk_index, length(piece) AS chars, md5(piece) AS piece FROM order_pieces_""", "order_pieces_"))
+def paragraph_chunks(spark, sf):
+    """The pieces themselves: paragraphs of many lengths, packed to the size with the tail of one piece opening the next."""
+    texts = d.order_notes(spark, sf).select("page", F.array_join("notes", "\n\n").alias("text"))
+    rows = texts.select("page", F.posexplode(splitter.recursive_chunks("text")).alias("chunk_index", "piece"))
+    return rows.select("page", "chunk_index", F.length("piece").alias("chars"), F.md5("piece").alias("piece"))
+
+
 # --- Q: questions -----------------------------------------------------------------------------------
 
 @query("q1_normalize", f"""
