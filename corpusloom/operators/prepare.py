@@ -94,7 +94,7 @@ def page_chunks(pages: DataFrame, pieces: Column | None = None) -> DataFrame:
     )
 
 
-def with_location(pages: DataFrame, space: str, space_name: str, site: str, base: str) -> DataFrame:
+def with_location(pages: DataFrame, space: str | Column, space_name: str | Column, site: str, base: str) -> DataFrame:
     """Landed pages with body, breadcrumb, link and space columns."""
     return pages.select(
         "id", "title", F.coalesce("type", F.lit("page")).alias("kind"), page_body(F.col("export_view"), F.col("storage")).alias("body"),

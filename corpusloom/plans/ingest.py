@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.operators import issues, prepare
 from corpusloom.sources import landed, snapshot
@@ -11,10 +11,13 @@ from corpusloom.sources.schemas import CHUNK
 
 @dataclass(frozen=True)
 class Place:
-    """A wiki space or a tracker project, and where its links lead."""
+    """A wiki space or a tracker project, and where its links lead.
 
-    key: str
-    name: str = ""
+    To ingest many at once, land each in a folder ``<column>=<key>`` and give that column as ``key``: all are read together.
+    """
+
+    key: str | Column
+    name: str | Column = ""
     site: str = ""
     base: str = ""
 

@@ -668,10 +668,9 @@ def ingest_issues(spark, sf):
                          F.struct(F.col("fields.reporter").alias("author"), F.col("fields.created").alias("created"), doc(text_(F.lit(""))).alias("body"))).alias("comments")).alias("comment")))
     folder = work_dir(spark)
     raw.drop("first").write.partitionBy("project").json(f"{folder}/landed")
-    projects = sorted(r.project for r in d.issues(spark, sf).select("project").distinct().collect())  # the five segments
     names = spark.createDataFrame([("customfield_10000", "담당팀"), ("customfield_10001", "점검일"), ("customfield_10002", "Target Date")], "id string, name string")
-    chunks = reduce(DataFrame.unionByName, [
-        ingest.issue_chunks(ingest.issue_overviews(spark, f"{folder}/landed/project={p}", ingest.Place(p), names), ingest.Place(p)) for p in projects])
+    every = ingest.Place(F.col("project"))
+    chunks = ingest.issue_chunks(ingest.issue_overviews(spark, f"{folder}/landed", every, names), every)
     ingest.publish(chunks, f"{folder}/chunks", "run1")
     ingest.publish(chunks, f"{folder}/chunks", "run2")
     rows = snapshot.read_table(spark, f"{folder}/chunks").filter("content_type = 'jira_issue'")
@@ -712,9 +711,8 @@ def ingest_pages(spark, sf):
     raw.write.partitionBy("space").json(f"{folder}/landed")
     known = issues.overview(d.issues(spark, sf))
     projects = d.issues(spark, sf).select(F.col("project").alias("key"), F.col("project_name").alias("name")).distinct()
-    spaces = sorted(r.c_mktsegment for r in d.table(spark, sf, "customer").select("c_mktsegment").distinct().collect())  # the five segments
-    chunks = reduce(DataFrame.unionByName, [
-        ingest.page_chunks(spark, f"{folder}/landed/space={x}", ingest.Place(x, f"Space {x}", d.SITE, d.BASE), known, projects) for x in spaces])
+    place = ingest.Place(F.col("space"), F.concat(F.lit("Space "), "space"), d.SITE, d.BASE)
+    chunks = ingest.page_chunks(spark, f"{folder}/landed", place, known, projects)
     sources = raw.select(F.lit(fv.WIKI).alias("source_type"), "space").distinct()
     ingest.publish(chunks, f"{folder}/chunks", "run1", sources)
     ingest.publish(chunks, f"{folder}/chunks", "run2", sources)
