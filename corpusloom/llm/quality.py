@@ -1,11 +1,13 @@
 """Quality rules with thresholds that follow the corpus.
 
 Each document gets four measures, whole numbers in thousandths so that every engine agrees on them: symbols per word, mean
-word length, share of repeated lines, share of words in repeated three-word windows. Per language and source, and over
-coarser groups where a group is small, each measure is summed up in a quantile sketch: counts per bucket, where a bucket
+word length, share of repeated lines, share of words in repeated three-word windows. Per language and source
+each measure is summed up in a quantile sketch: counts per bucket, where a bucket
 holds the values that agree in their leading four bits (values within about 6 % of each other). Sketches of parts merge by adding counts, in
 any order, so a group's sketch comes from partial sums of all tasks, a hot source costs no more than another, and a retried
-task changes nothing. Thresholds are fences around the middle half, ``q75 + reach * max(q75 - q25, least)``: they follow
+task changes nothing. To a group's counts those of its language are added, scaled to the weight of ``LENT`` documents, and to a
+language's those of all: a small group leans on what is usual around it, a large one on itself, and no size switches between
+them. Thresholds are fences around the middle half, ``q75 + reach * max(q75 - q25, least)``: they follow
 what is usual in a group instead of removing a fixed share of it. A document beyond a fence of its group goes.
 
 Only built-in functions are used. Measures are written once to the shared folder as narrow rows and read by both the
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
@@ -29,8 +31,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Rules that hold for every group.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A group of fewer documents takes the thresholds of its language, and that of all if the language is small as well.
-LEAST_GROUP = 100
+#: Documents that the coarser group's counts weigh in a group; counts are kept in so many parts of a document.
+LENT, PARTS = 100, 100
 
 
 @dataclass(frozen=True)
@@ -132,18 +134,22 @@ def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
             .select(*by, "measure", "size", at(0.25).alias("q25"), at(0.75).alias("q75")))
 
 
+def lent(own: DataFrame, above: DataFrame, by: list[str], shared: list[str]) -> DataFrame:
+    """Sketches of groups, and added to each the sketch of the coarser group it is part of, scaled to ``LENT`` documents."""
+    size = F.sum("n").over(Window.partitionBy(*shared, "measure"))  # few rows: a few buckets for each doubling of a value
+    share = above.withColumn("size_", size).select(*[F.col(c).alias(f"{c}_") for c in [*shared, "measure"]], "bucket", F.expr(f"n * {LENT * PARTS} div size_").alias("n"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in [*shared, "measure"]]
+    added = own.select(*by, "measure").distinct().join(share, same).select(*by, "measure", "bucket", "n")
+    return merged(own.select(*by, "measure", "bucket", "n").unionByName(added), by)
+
+
 def thresholds(rows: DataFrame) -> DataFrame:
-    """(lang, source, low_<measure>, high_<measure>): fences of each group, or of the coarser one that stands in for it."""
-    fine = stage(sketches(rows, ["lang", "source"]), "sketches")
+    """(lang, source, low_<measure>, high_<measure>): fences of each group, with what coarser groups lend it."""
+    sizes = sketches(rows, ["lang", "source"]).withColumn("n", F.col("n") * PARTS)
+    fine = stage(sizes, "sketches")
     by_lang = merged(fine, ["lang"])
-    own, lang, whole = quartiles(fine, ["lang", "source"]), quartiles(by_lang, ["lang"]), quartiles(merged(by_lang, []), [])
-    lang = lang.select(F.col("lang").alias("lang_"), F.col("measure").alias("measure_"), F.struct("size", "q25", "q75").alias("l"))
-    whole = whole.select(F.col("measure").alias("measure__"), F.struct("size", "q25", "q75").alias("w"))
-    joined = (own.select("lang", "source", "measure", F.struct("size", "q25", "q75").alias("o"))
-              .join(lang, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("measure") == F.col("measure_")))
-              .join(whole, F.col("measure") == F.col("measure__")))
-    used = F.when(F.col("o.size") >= LEAST_GROUP, F.col("o")).when(F.col("l.size") >= LEAST_GROUP, F.col("l")).otherwise(F.col("w"))
-    chosen = joined.select("lang", "source", "measure", used.alias("u"))
+    lang = lent(by_lang, merged(by_lang, []), ["lang"], [])
+    chosen = quartiles(lent(fine, lang, ["lang", "source"], ["lang"]), ["lang", "source"]).select("lang", "source", "measure", F.struct("q25", "q75").alias("u"))
 
     def high(f: Fence) -> Column:
         return F.col("u.q75") + f.reach * F.greatest(F.col("u.q75") - F.col("u.q25"), F.lit(f.least))

@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this folder that SQL can express."""
 
 from corpusloom.llm.phrases import COVERED, DEPTH, LEAST, TOP
-from corpusloom.llm.quality import FENCES, LEAST_GROUP, LEAST_WORDS, MOST_REPEATED
+from corpusloom.llm.quality import FENCES, LEAST_WORDS, LENT, MOST_REPEATED, PARTS
 
 _BLANK = r"[\x20\x09-\x0D]"
 
@@ -10,13 +10,14 @@ def _quality() -> str:
     rate = lambda part, whole: f"CASE WHEN {whole} > 0 THEN floor(1000 * {part} / {whole}) ELSE 0 END::BIGINT"
     values = ", ".join(f"('{f.measure}', m.{f.measure})" for f in FENCES)
 
-    def quartiles(name: str, by: str) -> str:
-        keys = f"{by}, " if by else ""
+    def lent(name: str, own: str, above: str, by: str, shared: str) -> str:
+        same = "a.lang IS NOT DISTINCT FROM g.lang AND " if shared else ""
         return f"""{name} AS (
-  SELECT {keys}measure, max(n) AS size, max(CASE WHEN place = greatest(1, ceil(n * 0.25)) THEN bucket END) AS q25,
-         max(CASE WHEN place = greatest(1, ceil(n * 0.75)) THEN bucket END) AS q75
-  FROM (SELECT {keys}measure, bucket, row_number() OVER (PARTITION BY {keys}measure ORDER BY bucket) AS place,
-               count(*) OVER (PARTITION BY {keys}measure) AS n FROM parts) GROUP BY {keys}measure)"""
+  SELECT {by}, measure, bucket, sum(n)::BIGINT AS n FROM (
+    SELECT {by}, measure, bucket, n FROM {own}
+    UNION ALL SELECT {', '.join('g.' + c for c in by.split(', '))}, g.measure, a.bucket, a.n FROM (SELECT DISTINCT {by}, measure FROM {own}) g
+    JOIN (SELECT *  REPLACE ((n * {LENT * PARTS} // sum(n) OVER (PARTITION BY {shared}measure))::BIGINT AS n) FROM {above}) a ON {same}a.measure = g.measure)
+  GROUP BY {by}, measure, bucket)"""
 
     bounds = []
     for f in FENCES:
@@ -39,12 +40,14 @@ m AS (SELECT *, {rate('n_symbols', 'n_words')} AS symbol_rate, {rate('word_chars
              n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM c),
 parts AS (SELECT lang, source, measure, CASE WHEN value < 16 THEN value ELSE (value >> (length(bin(value)) - 4)::INT) << (length(bin(value)) - 4)::INT END AS bucket
           FROM m, LATERAL (VALUES {values}) v(measure, value)),
-{quartiles('own', 'lang, source')},
-{quartiles('by_lang', 'lang')},
-{quartiles('whole', '')},
-u AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.size >= {LEAST_GROUP} THEN o.q25 WHEN l.size >= {LEAST_GROUP} THEN l.q25 ELSE a.q25 END AS q25,
-             CASE WHEN o.size >= {LEAST_GROUP} THEN o.q75 WHEN l.size >= {LEAST_GROUP} THEN l.q75 ELSE a.q75 END AS q75
-      FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN whole a ON o.measure = a.measure),
+fine AS (SELECT lang, source, measure, bucket, count(*) * {PARTS} AS n FROM parts GROUP BY ALL),
+langs AS (SELECT lang, measure, bucket, sum(n)::BIGINT AS n FROM fine GROUP BY ALL),
+whole AS (SELECT measure, bucket, sum(n)::BIGINT AS n FROM fine GROUP BY ALL),
+{lent('by_lang', 'langs', 'whole', 'lang', '')},
+{lent('own', 'fine', 'by_lang', 'lang, source', 'lang, ')},
+u AS (SELECT lang, source, measure, min(CASE WHEN 4 * upto >= size THEN bucket END) AS q25, min(CASE WHEN 4 * upto >= 3 * size THEN bucket END) AS q75
+      FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS size FROM own)
+      GROUP BY ALL),
 outside AS (SELECT m.rid, bool_or(CASE {' '.join(bounds)} END) AS bad
             FROM m JOIN u ON m.lang IS NOT DISTINCT FROM u.lang AND m.source IS NOT DISTINCT FROM u.source GROUP BY m.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
