@@ -42,6 +42,57 @@ def test_language_blocks_equal_single_texts(spark, monkeypatch):
     assert np.allclose(whole[3], trees.lengths(texts[3]))
 
 
+def _ppm(grams, lang, kept, context, byte):
+    """Probability of a byte after three bytes, by the definition: method C with exclusion, order by order."""
+    def after(k):
+        seen = {}
+        for (name, gram), n in grams.items():
+            if name == lang and gram[3 - k:3] == context[3 - k:]:
+                seen[gram[3]] = seen.get(gram[3], 0) + n
+        return seen
+
+    alphabet = {b for _, gram in grams for b in gram} | {32}
+    below = {b: 1 / 256 for b in range(256)}
+    for k in range(4):
+        if k == 3 and kept.get(context, 0) < langid.LEAST_SEEN:
+            break
+        seen = after(k)
+        if not seen:
+            continue
+        total, kinds = sum(seen.values()), len(seen)
+        left = sum(p for b, p in below.items() if b not in seen)
+        escape = kinds if left > 1e-7 else 0
+        below = {b: seen[b] / (total + escape) if b in seen else p * escape / (total + escape) / left for b, p in below.items()}
+    assert byte in alphabet
+    return below[byte]
+
+
+def test_language_code_lengths_equal_the_definition(spark):
+    """Code lengths byte by byte against prediction by partial matching written out for one context at a time."""
+    words = {"xx": "abra cadabra abra bra dab", "yy": "dada bada dab dad cab", "zz": "zaza zebra arba"}
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(words.items())], "doc_id long, text string, lang string")
+    trees = langid.fit(docs)
+    grams, kept = {}, {}
+    for lang, text in words.items():
+        raw = langid._START + text.encode()
+        for i in range(len(raw) - 3):
+            grams[lang, raw[i:i + 4]] = grams.get((lang, raw[i:i + 4]), 0) + 1
+            kept[raw[i:i + 3]] = kept.get(raw[i:i + 3], 0) + 1
+    for text in [b"abracadabra", b"zebra dab", b"cccc", b"dada zaza"]:
+        raw = langid._START + text
+        for at, lang in enumerate(trees.languages):
+            bits = -sum(np.log2(_ppm(grams, lang, kept, raw[i:i + 3], raw[i + 3])) for i in range(len(text)))
+            assert abs(trees.lengths(text)[at] - bits) < 1e-2, (text, lang)
+
+
+def test_quality_small_groups_lean_on_their_language(spark):
+    """Counts lent by the language outweigh a few rows of their own and vanish beside many."""
+    few = [("en", "small", 900)] * 5 + [("en", "large", 10)] * 2000 + [("en", "own", 900)] * 2000
+    rows = spark.createDataFrame([(a, b, v, 5000, 0, 0) for a, b, v in few], "lang string, source string, symbol_rate long, word_length long, line_rate long, window_rate long")
+    high = {r.source: r.high_symbol_rate for r in quality.thresholds(rows).collect()}
+    assert high["large"] < 300 and high["own"] > 900 and high["small"] > high["large"]
+
+
 def test_language_odd_rows(edge_docs, no_docs):
     trees = langid.fit(edge_docs)
     found = {(r.doc_id, r.lang_pred) for r in langid.predict(edge_docs, trees).collect()}

@@ -369,3 +369,66 @@ def test_neighbours_recall(spark):
     expected = {(q, i) for q, _, i, _ in _nearest(rows, 20)}
     found = {(r.query_id, r.vec_id) for r in onebit.op10_onebit_neighbours(spark, SF).collect()}
     assert len(found & expected) >= 0.99 * len(expected)
+
+
+def test_neighbours_of_copies(spark, monkeypatch):
+    """Many rows with one vector, ids that repeat, also a query's own: equal to brute force."""
+    monkeypatch.setattr(onebit, "DATA", 16)
+    monkeypatch.setattr(onebit, "QUERIES", 3)
+    monkeypatch.setattr(onebit, "SHARED", 2)
+    rng = np.random.default_rng(4)
+    few = rng.standard_normal((6, 8)).round(2).tolist()
+    rows = [(int(rng.integers(0, 60)), few[int(x)]) for x in rng.choice(6, 200, p=[0.5, 0.3, 0.1, 0.04, 0.03, 0.03])] + [(20, few[0])] * 12
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert {tuple(r) for r in onebit.nearest(df.where("vec_id % 20 = 0"), df, 5).collect()} == _nearest(rows, 5)
+
+
+def _packed_by_hand(parts, size, most):
+    """Windows as lists of (key, start, length) in order, by plain search over all open windows."""
+    def run(pieces):
+        windows, open_, made = [], [], 0
+        for piece in pieces:
+            room = [(size - sum(p[2] for p in w), n, w) for n, w in open_]
+            fits = [r for r in room if r[0] >= piece[2]]
+            if fits:
+                _, n, window = min(fits, key=lambda r: r[:2])
+            else:
+                if len(open_) >= most:
+                    _, n, window = min(room, key=lambda r: r[:2])
+                    windows.append(window)
+                    open_.remove((n, window))
+                n, window = made, []
+                made += 1
+                open_.append((n, window))
+            window.append(piece)
+            if sum(p[2] for p in window) == size:
+                windows.append(window)
+                open_ = [o for o in open_ if o[0] != n]
+        return windows, [w for _, w in open_]
+
+    done, left = [], {}
+    for part, docs in parts.items():
+        closed, still = run([(key, start, min(size, n - start)) for key, n in docs for start in range(0, n, size)])
+        done += closed
+        left.setdefault(part // packing.TOGETHER, []).extend(p for w in still for p in w)
+    for pieces in left.values():
+        closed, still = run(sorted(pieces, key=lambda p: (-p[2], p[0], p[1])))
+        done += closed + still
+    return sorted(map(tuple, done))
+
+
+@pytest.mark.parametrize("together", [32, 2])
+def test_online_packing_equals_a_plain_search(spark, monkeypatch, byte_library, together):
+    """Placement by brute force: every window, its pieces and their order."""
+    monkeypatch.setattr(packing, "TOGETHER", together)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["a", "packing", "window", "of", "tokens"]) for _ in range(rng.choice([1, 5, 20, 40, 90])))) for i in range(300)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), "doc_id long, text string")
+    parts = {}
+    for r in docs.withColumn("part", packing.F.spark_partition_id()).collect():
+        parts.setdefault(r.part, []).append((r.doc_id, len(byte_library.encode(r.text, add_special_tokens=False).ids) + 1))
+    found = {}
+    for r in packing.pack(docs, vocabulary("byte_bpe_50k.json"), size=64, most=4).collect():
+        found.setdefault(r.sequence_id, []).append((r.offset, r.doc_id, r.start, r.length))
+    windows = sorted(tuple(p[1:] for p in sorted(w)) for w in found.values())
+    assert windows == _packed_by_hand(parts, 64, 4)
