@@ -34,6 +34,8 @@ def append_once(records: DataFrame, directory: str, stream: str, batch: str) ->
     if store.exists(done):
         return
     rows = records.withColumns({"log_date": log_day(F.col("timestamp")), "stream": F.lit(stream), "batch": F.lit(batch)})
+    # dealt by row, so a batch that comes in few splits, or for one day, is not sorted by day in one task
+    rows = rows.repartition(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_date", "stream", "batch").json(directory)
     store.create(done, True).close()
 
