@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import html
 from corpusloom.operators import issues
 from corpusloom.sources import log_sink
-from suite import ingest_queries
+from suite import domain, ingest_queries
 
 
 def tree(node):
@@ -73,3 +73,17 @@ def test_a_day_of_the_log_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.set(size, before)
     assert len(list(tmp_path.glob("log/log_date=2026-01-02/*/*/part-*"))) > 1
     assert log_sink.read_log(spark, f"{tmp_path}/log", "question string").count() == 40000
+
+
+def test_the_chunk_table_is_written_without_a_shuffle_of_its_rows(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, f"title {i}\n" + "word " * 400, "en", "src1") for i in range(300)], "doc_id long, text string, lang string, source string")
+    rows.repartition(2 * spark.sparkContext.defaultParallelism).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(domain, "stage", lambda df, name: df)
+    monkeypatch.setattr(domain, "_STORED", {})
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a split for each file
+    try:
+        found = domain.chunks(spark, str(tmp_path))
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 300 * 3
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
