@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import fixed_values as fv
+from corpusloom.functions.text import normalize, normalize_long
 from corpusloom.operators import keyword, keyword_blocks
 
 CHUNK = "chunk_id string, page_id string, title string, keyword string, content string, months array<int>"
@@ -88,3 +89,10 @@ def test_pairs_and_facts_are_not_shuffled(spark):
     p = prepared(spark, [("c", "p", "ab", "ab", "ab cd", [1])], [("q", "ab", True, False), ("r", "cd", False, True)])
     for found in (keyword.field_scores(p), keyword.page_scores(p, 3), keyword.gated_chunks(p)):
         assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_texts_are_normalised_alike(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aZz09 _-\n.\t\x00\x1fé가힣힤ㄱ😀İKßẞ회") for _ in range(rng.randrange(30))) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, *map(ascii, texts), "", None, bytes(range(1, 128)).decode()]], "t string")
+    assert rows.filter(~normalize(F.col("t")).eqNullSafe(normalize_long(F.col("t")))).count() == 0
