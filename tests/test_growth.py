@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpusloom.functions import html
-from corpusloom.operators import issues
+from corpusloom.operators import issues, mention_context
 from corpusloom.sources import log_sink
 from suite import domain, ingest_queries
 
@@ -87,3 +87,14 @@ def test_the_chunk_table_is_written_without_a_shuffle_of_its_rows(spark, tmp_pat
         assert found.count() == 300 * 3
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_scores_of_a_space_read_no_dates(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(mention_context, "stage", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or df)
+    chunks = spark.createDataFrame([(f"c{i}", "s", "Alpha-Beta 24-03 " * 400, "en > alpha", "beta gamma", "page", "wiki") for i in range(3)],
+                                   "chunk_id string, space string, title string, breadcrumb string, page_content string, content_type string, source_type string")
+    mentions, terms = spark.createDataFrame([("q", "s")], "query_id string, space string"), spark.createDataFrame([("q", "alpha"), ("q", "beta"), ("q", "delta")], "query_id string, term string")
+    got = mention_context.space_scores(mentions, terms, chunks).collect()
+    assert sorted(map(tuple, got)) == [("q", f"c{i}", 3 + 2 + 3 + 1) for i in range(3)]
+    assert all("regexp" not in plan for name, plan in plans if name == "posted") and "posted" in dict(plans)
