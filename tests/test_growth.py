@@ -6,7 +6,8 @@ import re
 from pyspark.sql import functions as F
 
 from corpusloom.functions import html
-from corpusloom.operators import issues, mention_context
+from corpusloom import fixed_values as fv
+from corpusloom.operators import issues, mention_context, scope
 from corpusloom.sources import log_sink
 from suite import domain, ingest_queries
 
@@ -98,3 +99,25 @@ def test_scores_of_a_space_read_no_dates(spark, monkeypatch):
     got = mention_context.space_scores(mentions, terms, chunks).collect()
     assert sorted(map(tuple, got)) == [("q", f"c{i}", 3 + 2 + 3 + 1) for i in range(3)]
     assert all("regexp" not in plan for name, plan in plans if name == "posted") and "posted" in dict(plans)
+
+
+def _issue_chunk(spark, rows):
+    return spark.createDataFrame(
+        [(f"{k}:{i}", k, "P", "Project", title, "jira_issue", "jira", k, "Open", "todo", None, due, None, None, fields, text) for k, i, title, due, fields, text in rows],
+        "chunk_id string, page_id string, space string, space_name string, title string, content_type string, source_type string, issue_key string, issue_status string, "
+        "issue_status_category string, assignee string, due_date string, updated string, created string, jira_date_fields map<string,string>, page_content string")
+
+
+def test_months_are_the_first_of_each_pattern_in_each_text(spark):
+    pick = random.Random(3)
+    parts = ["2024-03-01", "24.05", "24-11-3", "x24-07", "가24-08", " ", "\n", "Updated: ", "Due date:", "Date:\n", "Created:", "\r\n", "12", "-", "24_09-1", "é"]
+    text = lambda: "".join(pick.choice(parts) for _ in range(pick.randint(0, 7)))
+    rows = [(f"P-{i}", 0, pick.choice([None, text()]), pick.choice([None, text()]), pick.choice([None, {}, {"a": text(), "b": None}]), pick.choice([None, text() + "\n" + text() + "\n" + text()])) for i in range(3000)]
+    end, blank = "[^\n\r\u0085\u2028\u2029]", "[ \t\n\x0b\f\r]"
+    expected = {}
+    for key, _, title, due, fields, content in rows:
+        lines = [re.search(rf"(?:^|(?<=[\n\r\u0085\u2028\u2029])){n}:{blank}*({end}+)", content or "") for n in ("Updated", "Created", "Due date", "Date")]
+        texts = [due, *(fields or {}).values(), *(x and x[1] for x in lines), title]
+        expected[key] = sorted({int(found[1]) for t in texts if t for p in (fv.ISSUE_DATE_MONTH, fv.ISSUE_TITLE_MONTH) if (found := re.search(p, t))})
+    got = {r.issue: r.months for r in scope.issue_facts(_issue_chunk(spark, rows)).collect()}
+    assert got == expected and sum(len(m) > 1 for m in got.values()) > 100
