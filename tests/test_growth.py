@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import html
 from corpusloom import fixed_values as fv
-from corpusloom.operators import issues, mention_context, scope
+from corpusloom.operators import issue_summary, issues, mention_context, ranking, scope
 from corpusloom.sources import log_sink
 from suite import domain, ingest_queries
 
@@ -108,6 +108,17 @@ def _issue_chunk(spark, rows):
         "issue_status_category string, assignee string, due_date string, updated string, created string, jira_date_fields map<string,string>, page_content string")
 
 
+def test_matches_behind_issue_tables_are_made_once(spark):
+    chunks = _issue_chunk(spark, [(f"P-{i}", n, "점검", "2024-03-0%d" % (i % 9 + 1), {}, f"Updated: 2024-03-{i % 20 + 10}") for i in range(30) for n in range(2)])
+    asked = issue_summary.requests(spark.createDataFrame([("q", "P")], "query_id string, space string"), spark.createDataFrame([("q", "3월 4월 점검 이슈")], "query_id string, query string"))
+    rows = issue_summary.issue_rows(asked, chunks)
+    docs = issue_summary.summary_documents(rows, asked, spark.createDataFrame([("q", "3월 4월 점검 이슈")], "query_id string, query string"), size=20)
+    assert "explode(concat" not in docs._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(tuple, docs.select("part_no", "issue_count", "page_content").collect()))
+    assert [(a, b, c.count("| P-")) for a, b, c in got] == [(0, 30, 20), (1, 30, 10)]
+    assert issue_summary.matching_issue_chunks(asked, chunks).count() == 60
+
+
 def test_months_are_the_first_of_each_pattern_in_each_text(spark):
     pick = random.Random(3)
     parts = ["2024-03-01", "24.05", "24-11-3", "x24-07", "가24-08", " ", "\n", "Updated: ", "Due date:", "Date:\n", "Created:", "\r\n", "12", "-", "24_09-1", "é"]
@@ -121,3 +132,10 @@ def test_months_are_the_first_of_each_pattern_in_each_text(spark):
         expected[key] = sorted({int(found[1]) for t in texts if t for p in (fv.ISSUE_DATE_MONTH, fv.ISSUE_TITLE_MONTH) if (found := re.search(p, t))})
     got = {r.issue: r.months for r in scope.issue_facts(_issue_chunk(spark, rows)).collect()}
     assert got == expected and sum(len(m) > 1 for m in got.values()) > 100
+
+
+def test_places_need_no_second_sort(spark):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 5003).alias("v"))
+    got = ranking.placed(rows, ["k"], [F.desc("v")])
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.select("k", "v", "place").collect())) == sorted(map(tuple, ranking.numbered(rows, ["k"], [F.desc("v")], "place").collect()))
