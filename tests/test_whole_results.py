@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import issues
 from suite import ORACLES, QUERIES
 
 SEGMENTS = ["BUILDING", "MACHINERY", "AUTOMOBILE"]
@@ -49,3 +50,10 @@ def test_every_pair_of_a_question_is_kept(spark, tables, name, most):
 def test_every_matching_issue_chunk_is_a_row(spark, tables):
     df, got, expected = both(spark, tables, "r23_issue_match")
     assert got == expected and len({r[df.columns.index("chunk_id")] for r in got}) > 200
+
+
+def test_custom_fields_keep_their_whole_text(spark):
+    text = "word " * 300 + "end"
+    rows = spark.createDataFrame([("a", {"customfield_1": f'{{"value":"{text}"}}', "customfield_2": f'"{text}"'})], "key string, custom map<string,string>")
+    names = spark.createDataFrame([("customfield_1", "One"), ("customfield_2", "Two")], "id string, name string")
+    assert [f.text for f in issues.custom_fields(rows, names).first().fields] == [text, text]
