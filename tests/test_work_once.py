@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from corpusloom.functions import korean
-from corpusloom.operators import keyword, matching
+from corpusloom.operators import keyword, matching, scope
 
 
 def test_what_chunks_of_a_page_share_is_searched_once(spark, monkeypatch):
@@ -45,3 +45,15 @@ def test_long_texts_get_the_dates_of_the_column_rules(spark):
     assert rows.filter(~korean.searchable_long(t, 2026).eqNullSafe(korean.searchable(t, 2026)) | ~korean.locator_months_long(t).eqNullSafe(korean.locator_months(t))).count() == 0
     usual = [x for x in texts if korean._searched(x, 2026) is not None]
     assert len(usual) > 300 and len(usual) < len(texts)
+
+
+def test_chunks_are_read_once_for_typed_mentions(spark):
+    rows = [("1", "confluence", "src 1", "Space One", "en > src 1", "src1 text"), ("2", None, "src 2", "", "en", "src 1"), ("3", "jira", "src", "x", "SRC1", "none"), ("3", "jira", "src", "x", "SRC1", "none"),
+            ("4", "jira", "", "src 1", "src1", "src1"), (None, "jira", "other", "src1", "src1", "src1")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, source_type string, space string, space_name string, breadcrumb string, page_content string")
+    queries = spark.createDataFrame([("q", "SRC 1"), ("r", "src-1"), ("s", "one"), ("t", "!")], "query_id string, query string")
+    found = scope.mention_search(queries, chunks)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.query_id, r["rank"], r.space, r.space_name, r.score) for r in found.collect()) == [
+        ("q", 1, "src 1", "Space One", 115), ("q", 2, "src", "x", 25), ("q", 3, "src 2", "src 2", 10),
+        ("r", 1, "src 1", "Space One", 115), ("r", 2, "src", "x", 25), ("r", 3, "src 2", "src 2", 10), ("s", 1, "src 1", "Space One", 60), ("s", 2, "src", "x", 10)]
