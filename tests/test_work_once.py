@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from corpusloom.functions import korean
-from corpusloom.operators import keyword, matching, scope
+from corpusloom.functions.text import normalize
+from corpusloom.operators import keyword, matching, scope, status_search
 
 
 def test_what_chunks_of_a_page_share_is_searched_once(spark, monkeypatch):
@@ -57,3 +58,26 @@ def test_chunks_are_read_once_for_typed_mentions(spark):
     assert sorted((r.query_id, r["rank"], r.space, r.space_name, r.score) for r in found.collect()) == [
         ("q", 1, "src 1", "Space One", 115), ("q", 2, "src", "x", 25), ("q", 3, "src 2", "src 2", 10),
         ("r", 1, "src 1", "Space One", 115), ("r", 2, "src", "x", 25), ("r", 3, "src 2", "src 2", 10), ("s", 1, "src 1", "Space One", 60), ("s", 2, "src", "x", 10)]
+
+
+def test_issue_texts_are_normalised_without_a_pattern_per_field(spark):
+    fields = ["title", "breadcrumb", "space", "space_name", "page_content"]
+    rows = [("c1", None, "jira", "jira_issue", "todo", "T-1 가나", "B > 회의", None, "S p", "Ab, 회의İ: é 12\n"), ("c2", "p", "jira", "jira_issue", None, None, None, None, None, "x")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, page_id string, source_type string, content_type string, issue_status_category string, " + ", ".join(f"{c} string" for c in fields))
+    texts = status_search._texts(chunks)
+    assert "regexp_replace" not in texts._jdf.queryExecution().optimizedPlan().toString()
+    want = chunks.select("chunk_id", F.concat(*[normalize(F.col(c)) for c in fields]).alias("text"))
+    assert texts.select("chunk_id", "text").exceptAll(want).count() == 0 and texts.count() == 2
+
+
+def test_issues_are_matched_once_for_named_and_implied_projects(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(scope, "stage", lambda df, name: kept.append(name) or spark.createDataFrame(df.collect(), df.schema))
+    rows = [(f"A-{i}:0", f"A-{i}", "jira", "jira_issue", "AB", "AB Maintenance", f"A-{i}", "todo", "Open", None, "2024-05-01", "2024-05-01", None, f"A-{i} 24-05 점검", "Status: Open") for i in range(3)]
+    rows += [("B-1:0", "B-1", "jira", "jira_issue", "CD", "CD", "B-1", "todo", "Open", None, "2024-05-01", "2024-05-01", None, "B-1 점검", "Status: Open")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, page_id string, source_type string, content_type string, space string, space_name string, issue_key string, issue_status_category string, "
+                                         "issue_status string, due_date string, updated string, created string, jira_date_fields map<string,string>, title string, page_content string")
+    queries = spark.createDataFrame([("n", "CD 5월 점검 이슈"), ("i", "5월 점검 이슈")], "query_id string, query string")
+    found = scope.infer_scopes(queries, chunks)
+    assert kept == ["counted"] and "jira_issue" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.query_id, r["rank"], r.space, r.score) for r in found.collect()) == [("i", 1, "AB", 3), ("i", 2, "CD", 1), ("n", 1, "CD", 101)]
